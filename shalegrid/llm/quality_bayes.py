@@ -1,8 +1,9 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-Evidence of a document: log-odds of good quality (a logistic fit on text statistics) and of toxicity (log-odds of distinct
-words that tell the classes apart, scaled by a logistic fit). Both learn from SAMPLE labelled documents at most, those with
-the least hash of the id; word counts of the sample are grouped on the executors and at most WORDS words reach the driver.
+Evidence of a document: log-odds of good quality (a logistic fit on text statistics) and of toxicity (a logistic fit on
+words and word beginnings that tell the classes apart, by likelihood ratio). Both learn from SAMPLE labelled documents at
+most, those with the least hash of the id; the sample's words are counted on the executors, and at most CANDIDATES of them
+reach the driver, which learns from TERMS.
 
 Evidence is then pooled over all documents: the mean of each host is shrunk toward the global mean, the mean of each path
 toward its host's, by a prior strength that the method of moments takes from the spread between groups. A document's
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from shalegrid.llm.common import fields, map_rows, small_enough, staged
 from shalegrid.llm.quality_rules import FEATURES, statistics
 
-SAMPLE, WORDS = 20_000, 500
-#: Labelled documents that must have a word, and its least deviation from no difference.
-SUPPORT, DEVIATION = 12, 5.0
+SAMPLE, CANDIDATES, TERMS = 10_000, 3_000, 200
+#: Labelled documents that must have a term, the part of the toxic ones, and the least likelihood ratio.
+SUPPORT, SUPPORT_SHARE, RATIO = 12, 0.01, 40.0
+#: Lengths of word beginnings.
+HEADS = range(3, 9)
 #: Probabilities: below the first one quality rejects, from the second one toxicity does.
 GOOD, TOXIC = 0.3, 0.5
 #: The most that a path may move a document's log-odds: evidence of the text itself goes first.
@@ -37,7 +40,7 @@ SALTS = 16
 WORD = re.compile(r"\w+")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 15) -> np.ndarray:
     """Ridge logistic weights, the intercept first, by Newton steps. One class, or no rows: the smoothed share only."""
     w = np.zeros(x.shape[1] + 1)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -56,56 +59,80 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
+def terms_of(text: str | None) -> set[str]:
+    """Distinct words in lower case, and their beginnings with a star."""
+    words = set(WORD.findall((text or "").lower()))
+    return words | {f"{w[:k]}*" for w in words for k in HEADS if len(w) >= k}
+
+
 @dataclass
 class Evidence:
-    """What scores a text: scaled statistics for quality, words for toxicity."""
+    """What scores a text: scaled statistics for quality, terms for toxicity."""
 
     mean: np.ndarray
     scale: np.ndarray
     quality: np.ndarray
-    words: dict[str, float]
-    toxic: np.ndarray
+    terms: dict[str, float]
+    toxic: float
 
-    def word_score(self, text: str) -> float:
-        return sum(self.words[w] for w in self.words.keys() & set(WORD.findall(text.lower())))
+    def __post_init__(self):
+        self.least = min((len(t.rstrip("*")) for t in self.terms), default=0)
+        self.starts = {t[: self.least] for t in self.terms}
+
+    def term_score(self, text: str) -> float:
+        words = [w for w in set(WORD.findall(text.lower())) if w[: self.least] in self.starts]
+        found = {t for w in words for t in (w, *(f"{w[:k]}*" for k in HEADS if len(w) >= k)) if t in self.terms}
+        return sum(self.terms[t] for t in found)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[float], list[float]]:
         if not texts:
             return [], []
         x = (np.array([statistics(t)[1] for t in texts], float) - self.mean) / self.scale
         good = np.clip(self.quality[0] + x @ self.quality[1:], -12, 12)
-        bad = np.clip(self.toxic[0] + self.toxic[1] * np.array([self.word_score(t or "") for t in texts]), -12, 12)
+        bad = np.clip(self.toxic + np.array([self.term_score(t or "") for t in texts]), -12, 12)
         return good.tolist(), bad.tolist()
 
 
+def telling(counts: list[tuple[str, int, int]], limit: int = TERMS) -> list[str]:
+    """Of (term, toxic documents, likelihood ratio), best first: those that no shorter beginning of theirs tells as well."""
+    ratio = {t: g for t, _, g in counts}
+    covered = lambda t: any(ratio.get(f"{t[:k]}*", -1.0) >= ratio[t] for k in HEADS if k < len(t.rstrip("*")) or (k == len(t) and not t.endswith("*")))
+    return [t for t, _, _ in counts if not covered(t)][:limit]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so the broadcast has a fixed bound
     taken = docs.select("doc_id", "text").join(F.broadcast(marks.select("doc_id", F.col("q").alias("__q"), F.col("t").alias("__t"))), "doc_id")
 
-    def sides() -> object:
-        def run(columns: list[list]) -> list[list]:
-            return [columns[0], columns[1], columns[2], [statistics(t)[1] for t in columns[3]], [sorted(set(WORD.findall((t or "").lower()))) for t in columns[3]]]
-
-        return run
+    def make():
+        return lambda columns: [*columns[:3], [statistics(t)[1] for t in columns[3]], [sorted(terms_of(t)) for t in columns[3]]]
 
-    seen = staged(map_rows(taken, ["doc_id", "__q", "__t", "text"], sides, fields("doc_id bigint, q double, t double, x array<double>, words array<string>")), "labelled")
-    # Copies would count a word of theirs many times: documents with the same words count once.
-    once = seen.where("t is not null and t <> 0.5").withColumn("h", F.xxhash64("words")).dropDuplicates(["h"]).select(F.col("t") > 0.5, "words").toDF("bad", "words")
+    seen = staged(map_rows(taken, ["doc_id", "__q", "__t", "text"], make, fields("doc_id bigint, q double, t double, x array<double>, terms array<string>")), "labelled")
+    # Copies would count a term of theirs many times: documents that share their three least term hashes count once.
+    sketch = F.slice(F.array_sort(F.transform("terms", lambda w: F.xxhash64(w))), 1, 3)
+    once = seen.where("t is not null and t <> 0.5").withColumn("h", sketch).dropDuplicates(["h"]).select((F.col("t") > 0.5).alias("bad"), "terms")
     n = once.agg(F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
     n1, n0 = n["bad"], n["all"] - n["bad"]
-    by_word = once.select("bad", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("bad").cast("long")).alias("a"), F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
-    by_word = by_word.selectExpr("word", f"ln((a + 0.5D) / {n1 + 1}D) - ln((n - a + 0.5D) / {n0 + 1}D) as w", "sqrt(1 / (a + 0.5D) + 1 / (n - a + 0.5D)) as s")
-    words = {r["word"]: r["w"] for r in by_word.where(F.abs("w") >= DEVIATION * F.col("s")).orderBy(F.desc(F.abs(F.col("w") / F.col("s"))), "word").limit(WORDS).collect()} if n1 and n0 else {}
-    scored = seen.select("doc_id", "q", "t", "x", F.filter("words", lambda w: w.isin([*words]) if words else F.lit(False)).alias("words")).collect()
-    scored = sorted(scored, key=lambda r: (r["doc_id"], r["x"]))[: 2 * sample]
+    terms: list[str] = []
+    if n1 and n0:
+        by_term = once.select("bad", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(F.col("bad").cast("long")).alias("a"), F.count("*").alias("n"))
+        by_term = by_term.where(f"n >= {max(SUPPORT, SUPPORT_SHARE * n1)} and a * {n1 + n0}D > n * {n1}D")
+        by_term = by_term.selectExpr("term", "a", f"2 * (a * ln(a / (n * {n1 / (n1 + n0)}D)) + (n - a) * ln(greatest(n - a, 0.5D) / (n * {n0 / (n1 + n0)}D))) as g").where(F.col("g") >= RATIO)
+        terms = telling([(r["term"], r["a"], r["g"]) for r in by_term.orderBy(F.desc("g"), "term").limit(CANDIDATES).collect()])
+    place = {t: i for i, t in enumerate(terms)}
+    scored = seen.select("doc_id", "q", "t", "x", F.array_intersect("terms", F.array(*map(F.lit, terms)).cast("array<string>")).alias("terms")).collect()
+    scored = sorted(scored, key=lambda r: (r["doc_id"], r["x"]))[: 2 * sample]  # an id may stand on several rows
     x = np.array([r["x"] for r in scored], float).reshape(len(scored), len(FEATURES))
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
     q = np.array([np.nan if r["q"] is None or r["q"] == 0.5 else r["q"] for r in scored], float)
     t = np.array([np.nan if r["t"] is None or r["t"] == 0.5 else r["t"] for r in scored], float)
-    s = np.array([sum(words[w] for w in r["words"]) for r in scored], float).reshape(-1, 1)
+    s = np.zeros((len(scored), len(terms)))
+    for i, r in enumerate(scored):
+        s[i, [place[w] for w in r["terms"]]] = 1
     has_q, has_t = ~np.isnan(q), ~np.isnan(t)
-    return Evidence(mean, scale, logistic((x[has_q] - mean) / scale, (q[has_q] > 0.5).astype(float)), words, logistic(s[has_t], (t[has_t] > 0.5).astype(float)))
+    toxic = logistic(s[has_t], (t[has_t] > 0.5).astype(float), ridge=0.1)
+    return Evidence(mean, scale, logistic((x[has_q] - mean) / scale, (q[has_q] > 0.5).astype(float)), dict(zip(terms, toxic[1:].tolist(), strict=True)), float(toxic[0]))
 
 
 def strength(groups: DataFrame, share: str) -> float:
