@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,6 +18,20 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_OWN: list[str] = []
+
+
+def workspace(spark: SparkSession, label: str) -> str:
+    """A new path for a table that a query writes: in the shared folder of spark.checkpoint.dir, else in an own one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="shalegrid-"))
+            atexit.register(shutil.rmtree, _OWN[0], True)
+        root = _OWN[0]
+    return f"{root.rstrip('/')}/shalegrid/{uuid.uuid4().hex}/{label}"
+
+
 _SHIPPED: set[str] = set()
 
 
