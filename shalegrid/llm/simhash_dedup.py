@@ -23,6 +23,8 @@ from shalegrid.llm.components import connected_components
 WORDS = 3
 #: Fingerprints in a cell from which it is split by midpoints.
 CROWDED = 64
+#: Fingerprints that are sent to every task at most: those that each have one in HOT of all rows.
+HOT = 1000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -112,8 +114,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED)
     joined = comps.join(classes.select(F.col("fp").alias("node"), "doc_id"), "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_fp = comps.join(least, "component").select(F.col("node").alias("fp"), "least")
-    heads = classes.join(of_fp, "fp", "left").select("fp", F.coalesce("least", "doc_id").alias("component_id"))
-    return fps.join(heads, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    heads = staged(classes.join(of_fp, "fp", "left").select("fp", "n", F.coalesce("least", "doc_id").alias("component_id")), "heads")
+    # A fingerprint that many rows share would make one task of the join large. At most HOT fingerprints can have one in
+    # HOT of all rows: those are sent to every task, and the rows of the others are dealt by fingerprint.
+    rows = fps.count()
+    hot = F.broadcast(heads.where(F.col("n") * HOT >= rows).select("fp", "component_id"))
+    often, rarely = fps.join(hot, "fp"), fps.join(hot, "fp", "left_anti").join(heads.where(F.col("n") * HOT < rows).drop("n"), "fp")
+    return often.unionByName(rarely).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
