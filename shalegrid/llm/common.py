@@ -50,6 +50,14 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _portions(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in portions of so many rows and about so many bytes: what a portion's Python objects take is bounded."""
+    for batch in batches:
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[list[list]], list[list]]], out: T.StructType) -> DataFrame:
     """Arrow batches of the named columns through make()(their lists), which returns one list for each field of out.
 
@@ -59,7 +67,7 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in _portions(batches):
             made = f([c.to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(made, arrow, strict=True)], schema=arrow)
 
@@ -72,7 +80,7 @@ def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in _portions(batches):
             yield batch.filter(pa.array(f([batch.column(i).to_pylist() for i in at]), type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
