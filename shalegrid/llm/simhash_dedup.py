@@ -5,8 +5,8 @@ one segment's popcount by one, so fingerprints within Hamming distance 2 have ce
 cells meet in a cell that lies within 1 of both. Each fingerprint therefore goes to its own cell and the cells next to it (33
 at most), and an equi-join on the cell finds every pair within the bound once; the true distance is then checked.
 
-A cell with many fingerprints is not joined with itself: its members are dealt anew by the exact fingerprints one bit away
-that lie in that cell. Members that share such a midpoint are all within distance 2 of one another, and every pair within 2
+A cell with many fingerprints is not joined with itself: its members are dealt anew by the exact fingerprints at most one
+bit away from them. Members that share such a midpoint are all within distance 2 of one another, and every pair within 2
 shares one, so linking each to the least of them keeps all links, without pairs.
 """
 
@@ -91,9 +91,9 @@ def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     few, many = shared.where(F.col("n") <= crowded), shared.where(F.col("n") > crowded)
     # Of the cells in which two fingerprints meet, one is taken: by the moves that led there.
     a, b = (few.select(F.col("cell"), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "fp", "seg", "move"))) for x in "ab")
-    meets = "(a_move = 0 and b_move >= 0) or (a_move = -1 and b_move = 1 and a_seg <= b_seg) or (a_move = 1 and b_move = 1 and a_seg < b_seg)"
+    meets = "(a_move = 0 and b_move = 0 and a_node < b_node) or (a_move = 0 and b_move = 1) or (a_move = -1 and b_move = 1 and a_seg <= b_seg) or (a_move = 1 and b_move = 1 and a_seg < b_seg)"
     pairs = a.join(b, "cell").where(f"a_node <> b_node and ({meets}) and bit_count(a_fp ^ b_fp) <= 2").select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
-    bits = many.selectExpr("node", "fp", "cell", "explode(sequence(-1, 63)) as bit").selectExpr("node", "cell", "case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end as mid").where(f"{_cell('mid')} = cell")
+    bits = many.select("node", "fp").distinct().selectExpr("node", "fp", "explode(sequence(-1, 63)) as bit").selectExpr("node", "case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end as mid")
     least = bits.groupBy("mid").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("mid", "u")
     stars = bits.join(least, "mid").where("node <> u").select("u", F.col("node").alias("v"))
     return pairs.unionByName(stars)
