@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalegrid.llm.common import fields, filter_rows, map_rows, union_all
+from shalegrid.llm.common import fields, filter_rows, lowered, map_rows, union_all
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 24
 #: Items and bytes of items that one pass sends to the executors, about.
@@ -32,12 +32,6 @@ BLOCK_ITEMS, BLOCK_BYTES = 4096, 1 << 25
 WORD = re.compile(r"\w+")
 
 
-def lowered(text: str) -> str:
-    """Lower case, character by character where the whole would change its length, so that offsets hold."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
-
-
 def shingles(words: list[str], size: int) -> list[str]:
     return [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
 

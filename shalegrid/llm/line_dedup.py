@@ -13,36 +13,34 @@ units; each is returned. An empty table gives no rows; columns besides doc_id an
 from __future__ import annotations
 
 import re
+import struct
 
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalegrid.llm.common import fields, map_rows
+from shalegrid.llm.common import fields, lowered, map_rows
 
 MIN_WORDS, UNIT_WORDS = 20, 3
-UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t])|(?=\n)|\Z)")
+END = re.compile(r"[.!?]+(?=[ \t])|\n")
 WORD = re.compile(r"\w+")
 LAST = (1 << 63) - 1
 
 
 def units(text: str) -> list[tuple[int, int, int, tuple[int, int] | None]]:
     """(start, end, words, digest as two signed halves, None if too short) of each unit, in order."""
-    out, at, size = [], 0, len(text)
-    while at < size:
-        while at < size and text[at].isspace():
+    out, at, low = [], 0, lowered(text)
+    ends = [(m.end() - (text[m.start()] == "\n"), m.end()) for m in END.finditer(text)]
+    for end, after in [*ends, (len(text), len(text))]:
+        while at < end and text[at].isspace():
             at += 1
-        if at >= size:
-            break
-        m = UNIT.match(text, at)
-        end = max(m.end(), at + 1)
-        words = WORD.findall(text[at:end].lower())
-        digest = None
-        if len(words) >= UNIT_WORDS:
-            d = xxhash.xxh3_128_digest(" ".join(words))
-            digest = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
-        out.append((at, end, len(words), digest))
-        at = end
+        if at < end:
+            words = WORD.findall(low, at, end)
+            digest = None
+            if len(words) >= UNIT_WORDS:
+                digest = struct.unpack(">qq", xxhash.xxh3_128_digest(" ".join(words)))
+            out.append((at, end, len(words), digest))
+        at = after
     return out
 
 
