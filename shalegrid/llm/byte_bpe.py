@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from shalegrid.llm.common import fields, map_rows
-from shalegrid.llm.pretoken import PATTERN, SPLIT, Classes, Memo, char_bytes, read_ranks, tokenizer_of_ranks
+from shalegrid.llm.pretoken import PATTERN, SPLIT, Classes, Memo, char_bytes, read_ranks, shown, tokenizer_of_ranks
 
 
 class Codec:
@@ -29,11 +29,13 @@ class Codec:
         self.exact = tiktoken.Encoding("exact", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         back = char_bytes()
         #: The bytes of each id, from the characters that the library's vocabulary has.
-        self.bytes_of = {i: bytes(back[c] for c in shown) for shown, i in self.tok.get_vocab().items()}
+        self.bytes_of = {i: bytes(back[c] for c in token) for token, i in self.tok.get_vocab().items()}
         self.classes, self.memo = Classes(self.tok), Memo(self._packed)
 
     def _packed(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids if e.ids == (x := self.exact.encode_ordinary(w)) else x).tobytes() for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)]
+        tokenize, exact = self.tok.model.tokenize, self.exact.encode_ordinary
+        pairs = (([t.id for t in tokenize(shown(w))], exact(w)) for w in words)
+        return [array("I", ids if ids == right else right).tobytes() for ids, right in pairs]
 
     def packed(self, text: str) -> bytes:
         """The ids as unsigned 32-bit integers (little-endian on every machine that Spark runs on)."""

@@ -16,7 +16,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 #: The pattern by which byte-level tokenizers of this family split a text; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPLIT = regex.compile(PATTERN)
-#: Pre-tokens that a worker remembers; when there are more, it starts anew.
+#: Pre-tokens of one generation that a worker remembers; it has two.
 MEMO = 400_000
 
 
@@ -85,17 +85,25 @@ class Classes:
         return new.isdisjoint(self.other)
 
 
+def shown(word: str) -> str:
+    """The word's bytes as the characters that the library's vocabulary has for them."""
+    return "".join(map(byte_chars().__getitem__, word.encode()))
+
+
 class Memo:
-    """Values of pre-tokens, kept between batches within a bound."""
+    """Values of pre-tokens, kept between batches within a bound: when the young ones are too many they become the old ones,
+    and of those only what is met again stays."""
 
     def __init__(self, make, bound: int = MEMO):
-        self.make, self.bound, self.known = make, bound, {}
+        self.make, self.bound, self.known, self.old = make, bound, {}, {}
 
     def of(self, words: list[str]) -> dict:
         new = set(words).difference(self.known)
         if new:
             if len(self.known) + len(new) > self.bound:
-                self.known, new = {}, set(words)
-            new = list(new)
+                self.known, self.old, new = {}, self.known, set(words)
+            again = new & self.old.keys() if self.old else ()
+            self.known.update((w, self.old[w]) for w in again)
+            new = list(new.difference(again))
             self.known.update(zip(new, self.make(new), strict=True))
         return self.known

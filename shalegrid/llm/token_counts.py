@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from shalegrid.llm.common import fields, map_rows
-from shalegrid.llm.pretoken import SPLIT, Classes, Memo
+from shalegrid.llm.pretoken import SPLIT, Classes, Memo, shown
 
 STABLE = regex.compile(r"(?<=\S)(?=[ \n])|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])")
 #: Characters of a chunk and of the overlap that is tried first; a text of up to one chunk is encoded at once.
@@ -79,7 +79,8 @@ class Counter:
         self.bytelevel = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.tok.normalizer is None and self.tok.post_processor is None
         self.classes = Classes(self.tok) if self.bytelevel else None
         self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        self.memo = Memo(lambda words: [len(e) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)])
+        model = self.tok.model
+        self.memo = Memo(lambda words: [len(model.tokenize(shown(w))) for w in words])
 
     def __call__(self, texts: list[str]) -> list[int]:
         out, whole = [0] * len(texts), []
