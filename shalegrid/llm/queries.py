@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shalegrid.llm import byte_bpe, decontam, html_extract, line_dedup, pii, quality_bayes, quality_rules, secret_links, simhash_dedup, token_counts
 from shalegrid.llm.common import documents
+from shalegrid.llm.oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
@@ -75,4 +78,3 @@ QUERIES = {
     "op9_quality_bayes": op9_quality_bayes,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
