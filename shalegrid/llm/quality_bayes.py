@@ -21,6 +21,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,14 +105,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so the broadcast has a fixed bound
     taken = docs.select("doc_id", "text").join(F.broadcast(marks.select("doc_id", F.col("q").alias("__q"), F.col("t").alias("__t"))), "doc_id")
+    taken = taken.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")  # few rows, much work for each
 
     def make():
-        return lambda columns: [*columns[:3], [statistics(t)[1] for t in columns[3]], [sorted(terms_of(t)) for t in columns[3]]]
+        def run(columns: list[list]) -> list[list]:
+            terms = [[*terms_of(t)] for t in columns[3]]
+            sketches = [sorted(xxhash.xxh64_intdigest(w) >> 1 for w in ws)[:3] for ws in terms]
+            return [*columns[:3], [statistics(t)[1] for t in columns[3]], terms, sketches]
 
-    seen = staged(map_rows(taken, ["doc_id", "__q", "__t", "text"], make, fields("doc_id bigint, q double, t double, x array<double>, terms array<string>")), "labelled")
+        return run
+
+    kinds = "doc_id bigint, q double, t double, x array<double>, terms array<string>, sketch array<bigint>"
+    seen = staged(map_rows(taken, ["doc_id", "__q", "__t", "text"], make, fields(kinds)), "labelled")
     # Copies would count a term of theirs many times: documents that share their three least term hashes count once.
-    sketch = F.slice(F.array_sort(F.transform("terms", lambda w: F.xxhash64(w))), 1, 3)
-    once = seen.where("t is not null and t <> 0.5").withColumn("h", sketch).dropDuplicates(["h"]).select((F.col("t") > 0.5).alias("bad"), "terms")
+    once = seen.where("t is not null and t <> 0.5").dropDuplicates(["sketch"]).select((F.col("t") > 0.5).alias("bad"), "terms")
     n = once.agg(F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
     n1, n0 = n["bad"], n["all"] - n["bad"]
     terms: list[str] = []
