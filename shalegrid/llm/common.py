@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Rows a table may have to be sent to every executor; a wider one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of a portion of an Arrow batch that is made into Python objects at once, about.
+PORTION = 1 << 23
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _portions(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _portions(batches: Iterable[pa.RecordBatch], size: int = PORTION, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in portions of so many rows and about so many bytes: what a portion's Python objects take is bounded."""
     for batch in batches:
         step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
@@ -58,16 +60,16 @@ def _portions(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 1
             yield batch.slice(k, step)
 
 
-def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[list[list]], list[list]]], out: T.StructType) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[list[list]], list[list]]], out: T.StructType, size: int = PORTION) -> DataFrame:
     """Arrow batches of the named columns through make()(their lists), which returns one list for each field of out.
 
-    make runs once a task, so that what it loads stays in the worker.
+    make runs once a task, so that what it loads stays in the worker. size: a portion's bytes, less where much is made of each.
     """
     arrow = _arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in _portions(batches):
+        for batch in _portions(batches, size):
             made = f([c.to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(made, arrow, strict=True)], schema=arrow)
 

@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
         return run
 
     kinds = "doc_id bigint, q double, t double, x array<double>, terms array<string>, sketch array<bigint>"
-    seen = staged(map_rows(taken, ["doc_id", "__q", "__t", "text"], make, fields(kinds)), "labelled")
+    seen = staged(map_rows(taken, ["doc_id", "__q", "__t", "text"], make, fields(kinds), size=1 << 20), "labelled")
     # Copies would count a term of theirs many times: documents that share their three least term hashes count once.
     once = seen.where("t is not null and t <> 0.5").dropDuplicates(["sketch"]).select((F.col("t") > 0.5).alias("bad"), "terms")
     n = once.agg(F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
