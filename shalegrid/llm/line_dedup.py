@@ -2,9 +2,9 @@
 
 A unit is a line, or a sentence of it where a line holds several, so that a passage in the midst of a line is found too.
 Units are normalised (lower case, words only) and digested to 128 bits; digests are grouped globally. A unit's rank is the
-order of doc_id, then its place. Neighbouring units that an earlier copy exists of make a run; a run of MIN_WORDS words or
-more is removed, with the white space behind it. Units of fewer than UNIT_WORDS words are too common to be compared: they
-go with a run that stands on both their sides. Offsets are code points of the original text, ends exclusive.
+order of doc_id, then its place. Every unit that an earlier copy exists of is removed, with the white space behind it.
+Whole lines are compared if they have a word, sentences inside a line from UNIT_WORDS words on; shorter ones go where the
+units on both their sides go. Offsets are code points of the original text, ends exclusive.
 
 Null texts have no units. A null doc_id ranks last. Rows that share a doc_id rank alike, so they do not remove each other's
 units; each is returned. An empty table gives no rows; columns besides doc_id and text are not read.
@@ -21,51 +21,52 @@ from pyspark.sql import functions as F
 
 from shalegrid.llm.common import fields, lowered, map_rows
 
-MIN_WORDS, UNIT_WORDS = 20, 3
+UNIT_WORDS = 3
 END = re.compile(r"[.!?]+(?=[ \t])|\n")
 WORD = re.compile(r"\w+")
 LAST = (1 << 63) - 1
 
 
+def _line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end
+
+
 def units(text: str) -> list[tuple[int, int, int, tuple[int, int] | None]]:
     """(start, end, words, digest as two signed halves, None if too short) of each unit, in order."""
     out, at, low = [], 0, lowered(text)
     ends = [(m.end() - (text[m.start()] == "\n"), m.end()) for m in END.finditer(text)]
+    fresh = True  # whether a line begins here
     for end, after in [*ends, (len(text), len(text))]:
         while at < end and text[at].isspace():
             at += 1
         if at < end:
             words = WORD.findall(low, at, end)
             digest = None
-            if len(words) >= UNIT_WORDS:
+            whole = fresh and not text[end : _line_end(text, end)].strip()
+            if len(words) >= (1 if whole else UNIT_WORDS):
                 digest = struct.unpack(">qq", xxhash.xxh3_128_digest(" ".join(words)))
             out.append((at, end, len(words), digest))
+            fresh = False
+        fresh = fresh or after > end
         at = after
     return out
 
 
-def removable(found: list[tuple], copies: set[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Spans of the runs of copied units (given by place) that have min_words words."""
-    out, run, words = [], [], 0
+def removable(found: list[tuple], copies: set[int]) -> list[tuple[int, int]]:
+    """Spans of the runs of copied units (given by place); units too short to be compared go with both their neighbours."""
+    out, run = [], None
     seen: set = set()
-    marked = []
-    for i, (_, _, _, digest) in enumerate(found):
-        marked.append(None if digest is None else i in copies or digest in seen)
-        if digest is not None:
-            seen.add(digest)
-    for i, mark in enumerate([*marked, False]):
-        if mark is None:
+    for i, (start, end, _, digest) in enumerate(found):
+        if digest is None:
             continue
-        if mark:
-            if not run:
-                run, words = [i, i], 0
-            words += sum(found[j][2] for j in range(run[1] + 1, i + 1)) if run[1] != i else found[i][2]
-            run[1] = i
+        if i in copies or digest in seen:
+            run = (run[0] if run else start, end)
         elif run:
-            if words >= min_words:
-                out.append((found[run[0]][0], found[run[1]][1]))
-            run = []
-    return out
+            out.append(run)
+            run = None
+        seen.add(digest)
+    return [*out, run] if run else out
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -102,7 +103,7 @@ def copied_units(docs: DataFrame) -> DataFrame:
     return later.groupBy("rank").agg(F.array_sort(F.collect_set("place")).alias("copies"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_units, n_removed words, removed spans, text that stays) of each row."""
     ranked = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("rank"))
     both = ranked.join(copied_units(docs), "rank", "left")
@@ -112,7 +113,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             n, removed, spans, texts = [], [], [], []
             for text, copies in zip(columns[1], columns[2], strict=True):
                 found = units(text or "")
-                cut = removable(found, set(copies or ()), min_words)
+                cut = removable(found, set(copies or ()))
                 n.append(len(found))
                 removed.append(sum(u[2] for u in found if any(a <= u[0] < b for a, b in cut)) if cut else 0)
                 spans.append([{"start": a, "end": b} for a, b in cut])
