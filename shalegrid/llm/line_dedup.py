@@ -6,6 +6,11 @@ order of doc_id, then its place. Every unit that an earlier copy exists of is re
 Whole lines are compared if they have a word, sentences inside a line from UNIT_WORDS words on; shorter ones go where the
 units on both their sides go. Offsets are code points of the original text, ends exclusive.
 
+So that a copied passage is found whatever the lines and sentences around it, stretches of GRAM words are units too: of every
+GRAM neighbouring stretches of a text the one with the least hash (winnowing), so that two documents with 2 * GRAM - 1 words
+in common have chosen the same stretches there, without gaps between them. At most GRAM - 1 words at either end of such a passage stay.
+A stretch that a text repeats goes where it does not overlap the first one.
+
 Null texts have no units. A null doc_id ranks last. Rows that share a doc_id rank alike, so they do not remove each other's
 units; each is returned. An empty table gives no rows; columns besides doc_id and text are not read.
 """
@@ -14,16 +19,20 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shalegrid.llm.common import fields, lowered, map_rows
 
-UNIT_WORDS = 3
+UNIT_WORDS, GRAM = 3, 20
 END = re.compile(r"[.!?]+(?=[ \t])|\n")
-WORD = re.compile(r"\w+")
+WORD, BETWEEN, MARKS = re.compile(r"\w+"), re.compile(r"(\W+)"), re.compile(r"[^\w\s]*")
 LAST = (1 << 63) - 1
 
 
@@ -32,41 +41,98 @@ def _line_end(text: str, at: int) -> int:
     return len(text) if end < 0 else end
 
 
+#: 64-bit hashes of words, remembered.
+HASH: dict[str, int] = {}
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    if len(HASH) > 1 << 18:
+        HASH.clear()
+    known = list(map(HASH.get, words))
+    if None in known:
+        HASH.update((w, xxhash.xxh3_64_intdigest(w)) for w, h in zip(words, known, strict=True) if h is None)
+        known = [HASH[w] for w in words]
+    return np.frombuffer(array("Q", known), np.uint64)
+
+
+def _digest(words: list[str]) -> tuple[int, int]:
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(" ".join(words)))
+
+
+def chosen(words: list[str], gram: int = GRAM) -> list[int]:
+    """Places where a chosen stretch of gram words begins: the first least hash of every gram neighbouring stretches."""
+    if len(words) < gram:
+        return []
+    h, width = _hashes(words), 1
+    tail, spread = h, np.uint64(0x9E3779B97F4A7C15)
+    for bit in f"{gram:b}"[1:]:
+        power = np.uint64(pow(int(spread), width, 1 << 64))
+        h, width = h[:-width] * power + h[width:], 2 * width
+        if bit == "1":
+            h, width = h[:-1] * spread + tail[width:], width + 1
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    low = np.uint64((1 << 32) - 1)
+    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    reach, width = min(gram, len(h)), 1
+    while width < reach:
+        step = min(width, reach - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    least = (least & low).astype(np.int64)
+    return least[np.flatnonzero(np.diff(least, prepend=-1))].tolist()
+
+
 def units(text: str) -> list[tuple[int, int, int, tuple[int, int] | None]]:
-    """(start, end, words, digest as two signed halves, None if too short) of each unit, in order."""
+    """(start, end, words, digest as two signed halves, None if too short) of each unit, in order; a stretch has no words."""
     out, at, low = [], 0, lowered(text)
+    parts = BETWEEN.split(low)
+    first, last = int(not parts[0]), len(parts) - (not parts[-1])
+    places = list(accumulate(map(len, parts), initial=0))
+    every, starts, stops = parts[2 * first : last : 2], places[2 * first : last : 2], places[2 * first + 1 : last + 1 : 2]
     ends = [(m.end() - (text[m.start()] == "\n"), m.end()) for m in END.finditer(text)]
-    fresh = True  # whether a line begins here
+    fresh, i = True, 0  # whether a line begins here
     for end, after in [*ends, (len(text), len(text))]:
         while at < end and text[at].isspace():
             at += 1
         if at < end:
-            words = WORD.findall(low, at, end)
-            digest = None
+            j = bisect_left(starts, end, i)
             whole = fresh and not text[end : _line_end(text, end)].strip()
-            if len(words) >= (1 if whole else UNIT_WORDS):
-                digest = struct.unpack(">qq", xxhash.xxh3_128_digest(" ".join(words)))
-            out.append((at, end, len(words), digest))
-            fresh = False
+            out.append((at, end, j - i, _digest(every[i:j]) if j - i >= (1 if whole else UNIT_WORDS) else None))
+            fresh, i = False, j
         fresh = fresh or after > end
         at = after
+    for k in chosen(every):
+        end = stops[k + GRAM - 1]
+        if end < len(text) and not text[end].isspace():
+            end = MARKS.match(low, end).end()
+        out.append((starts[k], end, 0, _digest(every[k : k + GRAM])))
+    out.sort()
     return out
 
 
 def removable(found: list[tuple], copies: set[int]) -> list[tuple[int, int]]:
     """Spans of the runs of copied units (given by place); units too short to be compared go with both their neighbours."""
-    out, run = [], None
-    seen: set = set()
-    for i, (start, end, _, digest) in enumerate(found):
+    copied = {found[i][3] for i in copies}
+    first: dict = {}
+    gone, others = [], []
+    for start, end, words, digest in found:
         if digest is None:
             continue
-        if i in copies or digest in seen:
-            run = (run[0] if run else start, end)
-        elif run:
-            out.append(run)
-            run = None
-        seen.add(digest)
-    return [*out, run] if run else out
+        if digest in copied or start >= first.setdefault(digest, end):
+            gone.append((start, end))
+        elif words:
+            others.append((start, end))
+    out: list = []
+    stops = [b for _, b in others]
+    for start, end in gone:
+        if out:
+            # Runs are one if no unit that stays lies between them.
+            k = bisect_right(stops, out[-1][1])
+            if start <= out[-1][1] or k == len(others) or others[k][0] >= start:
+                out[-1] = (out[-1][0], max(end, out[-1][1]))
+                continue
+        out.append((start, end))
+    return out
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -85,19 +151,21 @@ def copied_units(docs: DataFrame) -> DataFrame:
 
     def make():
         def run(columns: list[list]) -> list[list]:
-            ranks, packed = [], []
+            ranks, his, los, places = [], [], [], []
             for doc_id, text in zip(*columns, strict=True):
                 first: dict = {}
                 for i, u in enumerate(units(text or "")):
                     if u[3] is not None:
                         first.setdefault(u[3], i)
-                ranks.append(LAST if doc_id is None else doc_id)
-                packed.append([{"hi": d[0], "lo": d[1], "place": i} for d, i in first.items()])
-            return [ranks, packed]
+                ranks += [LAST if doc_id is None else doc_id] * len(first)
+                his += [d[0] for d in first]
+                los += [d[1] for d in first]
+                places += first.values()
+            return [ranks, his, los, places]
 
         return run
 
-    made = map_rows(docs, ["doc_id", "text"], make, fields("rank bigint, units array<struct<hi:bigint,lo:bigint,place:int>>")).selectExpr("rank", "inline(units)")
+    made = map_rows(docs, ["doc_id", "text"], make, fields("rank bigint, hi bigint, lo bigint, place int"))
     least = made.groupBy("hi", "lo").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").drop("most")
     later = made.join(least, ["hi", "lo"]).where("rank > least").select("rank", "place")
     return later.groupBy("rank").agg(F.array_sort(F.collect_set("place")).alias("copies"))
@@ -114,8 +182,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for text, copies in zip(columns[1], columns[2], strict=True):
                 found = units(text or "")
                 cut = removable(found, set(copies or ()))
-                n.append(len(found))
-                removed.append(sum(u[2] for u in found if any(a <= u[0] < b for a, b in cut)) if cut else 0)
+                n.append(sum(u[2] > 0 or u[3] is None for u in found))
+                removed.append(sum(len(WORD.findall(text, a, b)) for a, b in cut))
                 spans.append([{"start": a, "end": b} for a, b in cut])
                 texts.append(None if text is None else without(text, cut))
             return [columns[0], n, removed, spans, texts]

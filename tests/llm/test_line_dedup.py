@@ -25,3 +25,26 @@ def test_no_whole_line_stays_twice(spark):
     after = Counter(norm(x) for t in stays(spark, docs) for x in t.split("\n"))
     repeated = [n for n, c in before.items() if c > 1]
     assert repeated and all(after[n] <= 1 for n in repeated)
+
+
+def windows(text, n=50):
+    w = re.findall(r"\w+", text.lower())
+    # Stretches in which a few words are said over and over are not passages.
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1) if len(set(w[i : i + n])) > n // 2}
+
+
+def test_no_passage_of_fifty_words_stays(spark):
+    docs = duckdb.sql(f"select doc_id, text from '{DATA}/sf0.01/documents.parquet'").fetchall()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    seen: set = set()
+    for d, t in sorted(docs):
+        assert seen.isdisjoint(windows(got[d])), d
+        seen |= windows(t)
+
+
+def test_passage_without_ends_goes(spark):
+    said = " ".join(f"word{i}" for i in range(60))
+    broken = said.replace("word30 ", "word30\n")
+    rows = [(1, f"one begins {said} and goes on"), (2, f"two begins here {broken} and ends")]
+    one, two = sorted(stays(spark, rows))
+    assert one == rows[0][1] and not windows(one, 39) & windows(two, 39) and two.startswith("two begins here") and two.endswith("and ends")
