@@ -11,8 +11,9 @@ GRAM neighbouring stretches of a text the one with the least hash (winnowing), s
 in common have chosen the same stretches there, without gaps between them. At most GRAM - 1 words at either end of such a passage stay.
 A stretch that a text repeats goes where it does not overlap the first one.
 
-Null texts have no units. A null doc_id ranks last. Rows that share a doc_id rank alike, so they do not remove each other's
-units; each is returned. An empty table gives no rows; columns besides doc_id and text are not read.
+Null texts have no units. A null doc_id ranks last. Rows that share a doc_id rank by a hash of their texts (62 bits); of rows
+equal in both, one counts as the earliest. Each row is returned. An empty table gives no rows; columns besides doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ UNIT_WORDS, GRAM = 3, 20
 END = re.compile(r"[.!?]+(?=[ \t])|\n")
 WORD, BETWEEN, MARKS = re.compile(r"\w+"), re.compile(r"(\W+)"), re.compile(r"[^\w\s]*")
 LAST = (1 << 63) - 1
+#: A repeated id's rank: the id (null: 2^63), then 62 bits of the text's hash. Decimals, since aggregates hold them in place.
+TIED = f"coalesce(cast(doc_id as decimal(19,0)), {LAST + 1}BD) * {1 << 62}BD + cast(coalesce(xxhash64(text), 0L) & {(1 << 62) - 1}L as decimal(19,0))"
 
 
 def _line_end(text: str, at: int) -> int:
@@ -146,18 +149,26 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def copied_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, copies array<int>): the places of units that a document of lower rank has too. Documents without are absent."""
+def ranked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rank, n): a rank for each document; where ids repeat, equal rows are one row here and n counts them."""
+    rank = F.coalesce("doc_id", F.lit(LAST))
+    if not docs.groupBy(rank.alias("rank")).count().where("count > 1").limit(1).count():
+        return docs.select("doc_id", "text", rank.alias("rank"), F.lit(1).cast("bigint").alias("n"))
+    return docs.groupBy("doc_id", "text").agg(F.count("*").alias("n")).select("doc_id", "text", F.expr(TIED).cast("decimal(38,0)").alias("rank"), "n")
+
+
+def copied_units(rows: DataFrame) -> DataFrame:
+    """(rank, copies array<int>): the places of units that a document of lower rank has too. Documents without are absent."""
 
     def make():
         def run(columns: list[list]) -> list[list]:
             ranks, his, los, places = [], [], [], []
-            for doc_id, text in zip(*columns, strict=True):
+            for rank, text in zip(*columns, strict=True):
                 first: dict = {}
                 for i, u in enumerate(units(text or "")):
                     if u[3] is not None:
                         first.setdefault(u[3], i)
-                ranks += [LAST if doc_id is None else doc_id] * len(first)
+                ranks += [rank] * len(first)
                 his += [d[0] for d in first]
                 los += [d[1] for d in first]
                 places += first.values()
@@ -165,7 +176,8 @@ def copied_units(docs: DataFrame) -> DataFrame:
 
         return run
 
-    made = map_rows(docs, ["doc_id", "text"], make, fields("rank bigint, hi bigint, lo bigint, place int"))
+    kind = rows.schema["rank"].dataType.simpleString()
+    made = map_rows(rows, ["rank", "text"], make, fields(f"rank {kind}, hi bigint, lo bigint, place int"))
     least = made.groupBy("hi", "lo").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").drop("most")
     later = made.join(least, ["hi", "lo"]).where("rank > least").select("rank", "place")
     return later.groupBy("rank").agg(F.array_sort(F.collect_set("place")).alias("copies"))
@@ -173,15 +185,16 @@ def copied_units(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_units, n_removed words, removed spans, text that stays) of each row."""
-    ranked = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("rank"))
-    both = ranked.join(copied_units(docs), "rank", "left")
+    rows = ranked(docs)
+    both = rows.join(copied_units(rows), "rank", "left").selectExpr("doc_id", "text", "copies", "explode(sequence(1L, n)) as nth")
 
     def make():
         def run(columns: list[list]) -> list[list]:
             n, removed, spans, texts = [], [], [], []
-            for text, copies in zip(columns[1], columns[2], strict=True):
+            for text, copies, nth in zip(*columns[1:], strict=True):
                 found = units(text or "")
-                cut = removable(found, set(copies or ()))
+                # All units of a row that equals an earlier one are copies.
+                cut = removable(found, {i for i, u in enumerate(found) if u[3] is not None} if nth > 1 else set(copies or ()))
                 n.append(sum(u[2] > 0 or u[3] is None for u in found))
                 removed.append(sum(len(WORD.findall(text, a, b)) for a, b in cut))
                 spans.append([{"start": a, "end": b} for a, b in cut])
@@ -190,4 +203,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_rows(both, ["doc_id", "text", "copies"], make, fields("doc_id bigint, n_units bigint, n_removed_words bigint, removed array<struct<start:bigint,end:bigint>>, text string"))
+    return map_rows(both, ["doc_id", "text", "copies", "nth"], make, fields("doc_id bigint, n_units bigint, n_removed_words bigint, removed array<struct<start:bigint,end:bigint>>, text string"))

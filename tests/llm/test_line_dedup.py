@@ -48,3 +48,10 @@ def test_passage_without_ends_goes(spark):
     rows = [(1, f"one begins {said} and goes on"), (2, f"two begins here {broken} and ends")]
     one, two = sorted(stays(spark, rows))
     assert one == rows[0][1] and not windows(one, 39) & windows(two, 39) and two.startswith("two begins here") and two.endswith("and ends")
+
+
+def test_repeated_and_null_ids_keep_their_own_text(spark):
+    said = [f"Text {x} has its own first line.\nThen {x} says quite another thing.\nAt last {x} ends here." for x in "abcde"]
+    rows = [(1, said[0]), (None, said[0]), (None, said[1]), (None, said[2]), (None, said[2]), (2, said[3]), (2, said[4]), (2, said[4])]
+    got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", said[0]), ("None", ""), ("None", said[1]), ("None", said[2]), ("None", ""), ("2", said[3]), ("2", said[4]), ("2", "")])
