@@ -99,38 +99,49 @@ def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, fingerprint: 16 hex digits, component_id: least doc_id reachable) of each row.
-
-    Links join fingerprints that differ in two bits or fewer, so null, empty and blank texts (fingerprint zero) link like any
-    others. A null doc_id takes part with its text; where a component has null ids only, its component_id is null. Rows that
-    repeat a doc_id are each returned; an empty table gives no rows.
-    """
-    fps = staged(fingerprints(docs, words), "fingerprints")
+def _with_components(fps: DataFrame, crowded: int) -> DataFrame:
+    """fps (fp, doc_id, any more columns) with component_id, and group: a fingerprint that names the component."""
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "classes")
     # A node is its class's fingerprint, so that rows that share a doc_id but no text never fall together.
     edges = links(classes.select(F.col("fp").alias("node"), "fp"), crowded)
     comps = staged(connected_components(edges), "components")
     joined = comps.join(classes.select(F.col("fp").alias("node"), "doc_id"), "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_fp = comps.join(least, "component").select(F.col("node").alias("fp"), "least")
-    heads = staged(classes.join(of_fp, "fp", "left").select("fp", "n", F.coalesce("least", "doc_id").alias("component_id")), "heads")
+    of_fp = comps.join(least, "component").select(F.col("node").alias("fp"), "component", "least")
+    heads = staged(classes.join(of_fp, "fp", "left").select("fp", "n", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("component", "fp").alias("group")), "heads")
     # A fingerprint that many rows share would make one task of the join large. At most HOT fingerprints can have one in
     # HOT of all rows: those are sent to every task, and the rows of the others are dealt by fingerprint.
     rows = fps.count()
-    hot = F.broadcast(heads.where(F.col("n") * HOT >= rows).select("fp", "component_id"))
+    hot = F.broadcast(heads.where(F.col("n") * HOT >= rows).drop("n"))
     often, rarely = fps.join(hot, "fp"), fps.join(hot, "fp", "left_anti").join(heads.where(F.col("n") * HOT < rows).drop("n"), "fp")
-    return often.unionByName(rarely).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return often.unionByName(rarely)
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED) -> DataFrame:
+    """(doc_id, fingerprint: 16 hex digits, component_id: least doc_id reachable) of each row.
+
+    Links join fingerprints that differ in two bits or fewer, so null, empty and blank texts (fingerprint zero) link like any
+    others. A null doc_id takes part with its text; where a component has null ids only, its component_id is null. Rows that
+    repeat a doc_id are each returned; an empty table gives no rows.
+    """
+    known = _with_components(staged(fingerprints(docs, words), "fingerprints"), crowded)
+    return known.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of docs that head their component: those of its least doc_id.
+    """One row of docs for each component: that of its least doc_id, null last.
 
-    doc_id names a document: of rows that repeat one, a single row stays. Rows without an id stay if only such rows share
-    their component, one for all of them.
+    A row is known by its doc_id and text, so rows that repeat an id or have none stay where their components differ. Of a
+    component's rows with one id, that with the least digest of the text stays; of rows equal in both, any one.
     """
-    known = staged(near_duplicates(docs, words), "near")
-    heads = known.select(F.col("component_id").alias("__head")).distinct()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__head")), "left_semi")
-    repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    digest = F.md5(F.coalesce("text", F.lit("")))
+
+    def make():
+        return lambda columns: [columns[0], [x - (1 << 64) if x >> 63 else x for x in (fingerprint(t, words) for t in columns[1])], columns[2]]
+
+    fps = staged(map_rows(docs.select("doc_id", "text", digest.alias("digest")), ["doc_id", "text", "digest"], make, fields("doc_id bigint, fp bigint, digest string")), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+    heads = staged(_with_components(fps, CROWDED).groupBy("group").agg(least).select(F.col("least.doc_id").alias("__id"), F.col("least.digest").alias("__digest")), "firsts")
+    kept = docs.withColumn("__text", digest).join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_semi")
+    equal = fps.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "__text"]) if equal else kept).drop("__text")
