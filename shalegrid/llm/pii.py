@@ -18,6 +18,7 @@ import datetime
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,10 @@ EMAIL_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 #: A run that begins with a digit, + or ( and holds digits and separators; what it is, is decided after.
 NUMBER = re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[ ().,/-]{0,2}\d)+(?![\w])")
+#: Where a run of several values is cut: blanks, commas, slashes, brackets, and a sentence's end.
+CUT = re.compile(r"[).]*[ ,/]+|\)[.-]*(?=[(\d])|(?=\()")
+#: Characters of the longest value: 19 digits of a card with a separator between each, and brackets.
+LONGEST = 41
 CARD = re.compile(r"\d(?:[ -]?\d){12,18}\Z")
 SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}\Z")
 IP = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}\Z")
@@ -138,6 +143,21 @@ def _kind(text: str) -> str | None:
     return "phone" if PHONE.match(text) else None
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int, str] | None:
+    """(start, end, kind) of the value that text[a:b] is, with or without a bracket before it and marks behind."""
+    bare = a
+    while bare < b and text[bare] == "(":
+        bare += 1
+    end = b
+    while end > bare and text[end - 1] in ".),":
+        end -= 1
+    # A telephone number may begin with its own bracket.
+    for begin in dict.fromkeys((a, bare)):
+        if end - begin >= 6 and (kind := _kind(text[begin:end])):
+            return begin, end, kind
+    return None
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each finding, in order, none overlapping."""
     out = []
@@ -156,18 +176,17 @@ def find(text: str) -> list[tuple[int, int, str]]:
         a, b = m.span()
         if b - a < 6:
             continue
-        kind = _kind(text[a:b])
-        if kind:
-            out.append((a, b, kind))
+        if found := _trimmed(text, a, b):
+            out.append(found)
             continue
-        # Several values may stand side by side: the pieces between spaces are looked at, longest first from the left.
-        cuts = [a, *(x for p in re.finditer(r"[ ,/]+", text[a:b]) for x in (a + p.start(), a + p.end())), b]
+        # Several values may stand side by side: the pieces between separators are looked at, longest first from the left.
+        cuts = [a, *(x for p in CUT.finditer(text, a, b) for x in p.span()), b]
         starts, ends, i = cuts[::2], cuts[1::2], 0
         while i < len(starts):
-            for j in range(min(len(ends), i + 8) - 1, i - 1, -1):
-                begin, end = starts[i], ends[j]
-                if end - begin >= 6 and (kind := _kind(text[begin:end])):
-                    out.append((begin, end, kind))
+            # No value has more than LONGEST characters, so pieces beyond that are not looked at.
+            for j in range(bisect_right(ends, starts[i] + LONGEST) - 1, i - 1, -1):
+                if found := _trimmed(text, starts[i], ends[j]):
+                    out.append(found)
                     i = j
                     break
             i += 1
