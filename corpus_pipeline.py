@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shalegrid.llm import byte_bpe, decontam, quality_rules, secret_links, simhash_dedup
 from shalegrid.llm.common import staged
+from shalegrid.session import made, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' work on documents: doc_id, n_tokens, ids_sha256, decoded_sha256 of each row that all of them keep.
+
+    Null texts are empty ones and fail the quality rules; so do empty ones. Rows that share an id, or have none, are told
+    apart by their texts; of equal rows one stays. An empty table gives no rows. Columns besides doc_id and text pass
+    through the stages unread (n_chars follows the text), whatever their names. What a stage has read is deleted once its
+    result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = made()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = staged(docs, name.replace(" ", "_"))
+            release(spark, mark, keep=(docs._staged_path,))
     return docs

@@ -19,17 +19,65 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 _OWN: list[str] = []
+_MADE: list[str] = []
 
 
-def workspace(spark: SparkSession, label: str) -> str:
-    """A new path for a table that a query writes: in the shared folder of spark.checkpoint.dir, else in an own one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a session in one process (local, as in tests) gets an own folder; on a cluster that is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="shalegrid-"))
-            atexit.register(shutil.rmtree, _OWN[0], True)
-        root = _OWN[0]
-    return f"{root.rstrip('/')}/shalegrid/{uuid.uuid4().hex}/{label}"
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="shalegrid-"))
+        atexit.register(shutil.rmtree, _OWN[0], True)
+    return _OWN[0]
+
+
+def workspace(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for a table that a query writes; release() deletes it, as does the driver's end."""
+    top = f"{shared_dir(spark)}/shalegrid/{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_at_end)
+    _MADE.append(top)
+    return f"{top}/{label}"
+
+
+def made() -> int:
+    """How many paths workspace() has given out that still stand; a mark for release()."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what workspace() has given out after the mark, but for the paths in keep."""
+    stay = [t for t in _MADE[since:] if any(k.startswith(t) for k in keep)]
+    for top in _MADE[since:]:
+        if top not in stay:
+            where = spark._jvm.org.apache.hadoop.fs.Path(top)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE[since:] = stay
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes one path that workspace() gave out, whose table nothing reads any more."""
+    at = next((i for i, t in enumerate(_MADE) if path.startswith(t)), None)
+    if at is not None:
+        _MADE.append(_MADE.pop(at))
+        release(spark, len(_MADE) - 1)
+
+
+def _at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            release(spark)
+        except Exception:  # the session has ended: nothing can be deleted through it
+            _MADE.clear()
 
 
 _SHIPPED: set[str] = set()
