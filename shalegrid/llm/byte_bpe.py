@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding over Arrow batches.
 
-Bytes are shown to the library as printable characters; decoding reverses that table, so ids whose tokens split a
-character give back exactly its bytes. Each distinct pre-token's ids are held against the rank merges once; where the
-library's pairwise merges would differ, the rank merges' ids count.
+Bytes are shown to the tokenizers library as printable characters; decoding reverses that table, so ids whose tokens split a
+character give back exactly its bytes. The library gets every pair of tokens that makes a token, by rank, so its merges are
+those of the ranks, but for one case: a pre-token that holds an overlap (two different pairs for one token that share a part)
+is merged once more by the rank rule, whose ids count if they differ. Its pattern engine classes characters as the rank
+files' usual library does; texts with a character that the engine used here classes differently are split by the library.
 
 Nulls are empty texts, empty texts have no ids; equal rows and equal ids are each encoded; other columns are not read.
 """
@@ -10,6 +12,7 @@ Nulls are empty texts, empty texts have no ids; equal rows and equal ids are eac
 from __future__ import annotations
 
 import hashlib
+import re
 from array import array
 from functools import lru_cache
 
@@ -17,33 +20,32 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from shalegrid.llm.common import fields, map_rows
-from shalegrid.llm.pretoken import PATTERN, SPLIT, Classes, Memo, char_bytes, read_ranks, shown, tokenizer_of_ranks
+from shalegrid.llm.pretoken import SPLIT, Classes, Memo, by_rank, char_bytes, overlaps, read_ranks, shown, tokenizer_of_ranks
 
 
 class Codec:
     def __init__(self, path: str):
-        import tiktoken
-
         ranks = read_ranks(path)
-        self.tok = tokenizer_of_ranks(ranks)
-        self.exact = tiktoken.Encoding("exact", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranks, self.tok = ranks, tokenizer_of_ranks(ranks)
+        self.unsure = re.compile(b"|".join(map(re.escape, sorted(overlaps(ranks), key=len))) or b"(?!)")
         back = char_bytes()
         #: The bytes of each id, from the characters that the library's vocabulary has.
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in self.tok.get_vocab().items()}
-        self.classes, self.memo = Classes(self.tok), Memo(self._packed)
+        self.classes, self.memo = Classes(self.tok), Memo(lambda words: [self._packed(w) for w in words])
 
-    def _packed(self, words: list[str]) -> list[bytes]:
-        tokenize, exact = self.tok.model.tokenize, self.exact.encode_ordinary
-        pairs = (([t.id for t in tokenize(shown(w))], exact(w)) for w in words)
-        return [array("I", ids if ids == right else right).tobytes() for ids, right in pairs]
+    def _packed(self, word: str) -> bytes:
+        ids = [t.id for t in self.tok.model.tokenize(shown(word))]
+        if self.unsure.search(raw := word.encode()):
+            ids = by_rank(raw, self.ranks)
+        return array("I", ids).tobytes()
 
     def packed(self, text: str) -> bytes:
         """The ids as unsigned 32-bit integers (little-endian on every machine that Spark runs on)."""
         if self.classes.agreed(text):
             words = SPLIT.findall(text)
-            return b"".join(map(self.memo.of(words).__getitem__, words))
-        ids, exact = self.tok.encode(text, add_special_tokens=False).ids, self.exact.encode_ordinary(text)
-        return array("I", ids if ids == exact else exact).tobytes()
+        else:
+            words = [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        return b"".join(map(self.memo.of(words).__getitem__, words))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()

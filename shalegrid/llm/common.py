@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows a table may have to be sent to every executor; a wider one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+from shalegrid.session import discard, workspace
+
+#: Rows and bytes of strings that a table may have to be sent to every executor; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 1 << 25
 #: Bytes of a portion of an Arrow batch that is made into Python objects at once, about.
 PORTION = 1 << 23
 
@@ -23,33 +21,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (tests) an own one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="shalegrid-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read again: computed once, lineage cut, safe when executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shalegrid/{uuid.uuid4().hex}/{label}"
+    path = workspace(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Deletes a staged table that nothing reads any more."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        discard(df.sparkSession, df._staged_path)
 
 
 def _portions(batches: Iterable[pa.RecordBatch], size: int = PORTION, rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -98,9 +83,13 @@ def fields(spec: str) -> T.StructType:
     return T.StructType.fromDDL(spec)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows, and bytes in their strings and arrays; counts no further than that many rows."""
+    width = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    width += [F.greatest(F.size(f.name), F.lit(0)) * 32 for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    total = F.coalesce(F.sum(sum(width, F.lit(0)).cast("long")), F.lit(0))
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), total.alias("b")).first()
+    return seen["n"] <= rows and seen["b"] <= size
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:

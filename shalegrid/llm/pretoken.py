@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import regex
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -38,25 +39,55 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f.read().splitlines()))}
 
 
-def _last_pair(token: bytes, rank: int, ranks: dict[bytes, int]) -> list[bytes]:
-    """The two parts that token is merged from: what merges of lower rank leave of it."""
-    parts = [token[i : i + 1] for i in range(len(token))]
-    while True:
-        there = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None and r < rank]
-        if not there:
-            return parts
-        i = min(there)[1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+def splits(ranks: dict[bytes, int]) -> dict[bytes, list[int]]:
+    """For each token the places at which two tokens make it up."""
+    return {t: [i for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks] for t in ranks}
+
+
+def overlaps(ranks: dict[bytes, int]) -> set[bytes]:
+    """Strings p + q + r in which p + q and q + r are one and the same token by different pairs.
+
+    Only in text with such a string can it matter which of two pairs that make one token counts first: by rank the leftmost
+    does, by the library's list of pairs the one listed first.
+    """
+    out = set()
+    for t, at in splits(ranks).items():
+        places = set(at)
+        out |= {t[:i] + t for i in at if len(t) - i in places and 2 * i != len(t) and t.startswith(t[i:])}
+    return out
+
+
+def by_rank(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token: of all neighbouring parts that make a token, the lowest ranked and leftmost pair merges."""
+    after, before, parts = [*range(1, len(word) + 1)], [*range(-1, len(word) - 1)], [word[i : i + 1] for i in range(len(word))]
+    heap: list[tuple[int, int, bytes]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < len(parts) and (r := ranks.get(parts[i] + parts[j])) is not None:
+            heappush(heap, (r, i, parts[i] + parts[j]))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    while heap:
+        _, i, made = heappop(heap)
+        j = after[i] if parts[i] else len(parts)
+        if j < len(parts) and parts[i] + parts[j] == made:
+            parts[i], parts[j], after[i] = made, b"", after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+    return [ranks[p] for p in parts if p]
 
 
 def tokenizer_of_ranks(ranks: dict[bytes, int], pattern: str = PATTERN) -> Tokenizer:
-    """A tokenizers BPE with the merges that a rank file implies."""
+    """A tokenizers BPE with the merges that a rank file implies: every pair of tokens that makes a token, by its rank."""
     show = byte_chars()
     text = {t: "".join(show[b] for b in t) for t in ranks}
-    merges = []
-    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-        if len(token) > 1 and len(pair := _last_pair(token, rank, ranks)) == 2:
-            merges.append((text[pair[0]], text[pair[1]]))
+    at = splits(ranks)
+    merges = [(text[t[:i]], text[t[i:]]) for t in sorted(ranks, key=ranks.__getitem__) for i in at[t]]
     out = Tokenizer(models.BPE(vocab={text[t]: r for t, r in ranks.items()}, merges=merges))
     out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return out
