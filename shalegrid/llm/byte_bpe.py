@@ -12,31 +12,35 @@ Nulls are empty texts, empty texts have no ids; equal rows and equal ids are eac
 from __future__ import annotations
 
 import hashlib
-import re
 from array import array
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 
 from shalegrid.llm.common import fields, map_rows
-from shalegrid.llm.pretoken import SPLIT, Classes, Memo, by_rank, char_bytes, overlaps, read_ranks, shown, tokenizer_of_ranks
+from shalegrid.llm.pretoken import SPLIT, Classes, Memo, by_rank, byte_chars, char_bytes, overlaps, read_ranks, shown, tokenizer_of_ranks
 
 
 class Codec:
     def __init__(self, path: str):
         ranks = read_ranks(path)
         self.ranks, self.tok = ranks, tokenizer_of_ranks(ranks)
-        self.unsure = re.compile(b"|".join(map(re.escape, sorted(overlaps(ranks), key=len))) or b"(?!)")
+        self.unsure, show = ahocorasick.Automaton(), byte_chars()
+        for x in overlaps(ranks):
+            self.unsure.add_word("".join(map(show.__getitem__, x)), True)
+        self.unsure.make_automaton()
         back = char_bytes()
         #: The bytes of each id, from the characters that the library's vocabulary has.
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in self.tok.get_vocab().items()}
         self.classes, self.memo = Classes(self.tok), Memo(lambda words: [self._packed(w) for w in words])
 
     def _packed(self, word: str) -> bytes:
-        ids = [t.id for t in self.tok.model.tokenize(shown(word))]
-        if self.unsure.search(raw := word.encode()):
-            ids = by_rank(raw, self.ranks)
+        seen = shown(word)
+        ids = [t.id for t in self.tok.model.tokenize(seen)]
+        if len(self.unsure) and next(self.unsure.iter(seen), None):
+            ids = by_rank(word.encode(), self.ranks)
         return array("I", ids).tobytes()
 
     def packed(self, text: str) -> bytes:
