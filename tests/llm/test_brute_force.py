@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -47,16 +49,60 @@ def test_op1(spark):
         assert words(docs[r["doc_id"]][r["start"] : r["end"]])
 
 
-def test_op1_blocks_miss_nothing_within_radius():
+def test_op1_blocks_hold_all_within_radius_and_little_else():
     rnd = random.Random(1)
-    index = decontam.Index([(i, " ".join(rnd.choice("abcdefgh") * 3 for _ in range(12))) for i in range(40)])
-    for key, group in index.groups.items():
-        fps, near = index.blocks[key]
-        for _ in range(300):
-            i = rnd.randrange(len(group))
-            flips = rnd.sample(range(64), rnd.randint(0, index.radius))
-            fp = int(fps[i]) ^ sum(1 << b for b in flips)
-            assert any(near[b, fp >> 8 * b & 255, i] for b in range(8))
+    index = decontam.Index([(i, " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(99)) for _ in range(12))) for i in range(400)])
+    (group,) = index.groups.values()
+    flips = np.zeros((300, decontam.BITS), np.uint8)
+    for f in flips:
+        f[rnd.sample(range(decontam.BITS), rnd.randint(0, index.radius))] = 1
+    near = [rnd.randrange(400) for _ in flips]
+    windows = group.fps[near] ^ np.packbits(flips, axis=1).view("<u8")
+    met = set(map(tuple, group.met(windows).tolist()))
+    assert all((w, i) in met for w, i in enumerate(near))
+    assert len(met) < 0.3 * 300 * 400  # a quarter of random pairs; the distance then leaves the near ones alone
+    assert [(w, i) for w, i, _ in group.within(windows, index.radius)] == [*enumerate(near)]
+
+
+def test_op1_recall_against_exact_similarity():
+    """Edited copies: of all pairs of text and item that exact similarity finds, the fingerprints may miss one in a thousand."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, [rnd.choice(words) for _ in range(rnd.choice([12, 14, 20, 30, 59]))]) for i in range(300)]
+    index = decontam.Index([(i, " ".join(w)) for i, w in items])
+    want = got = 0
+    for i, w in items:
+        for _ in range(6):
+            copy = [*w]
+            for _ in range(rnd.randint(0, 2)):
+                copy[rnd.choice([0, 1, -1, -2, rnd.randrange(len(w))])] = "other"
+            text = [*rnd.choices(words, k=7), *copy, *rnd.choices(words, k=5)]
+            grams = lambda x: Counter(decontam.shingles(x, 5))
+            if max(decontam.similarity(grams(w), grams(text[s : s + len(w)])) for s in range(13)) >= 0.8:
+                want += 1
+                got += any(m[0] == i for m in index.matches(" ".join(text)))
+    assert want > 700 and got >= 0.999 * want
+
+
+def test_op1_many_items_of_one_length_take_little_time():
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    text = rnd.choices(words, k=2000)
+    items = [(i, " ".join(text[i : i + 40])) for i in range(1500)]
+    index = decontam.Index(items)
+    began = time.process_time()
+    assert {m[0] for m in index.matches(" ".join(text))} == {*range(1500)}
+    assert time.process_time() - began < 3  # about 1 s; a slow machine may take longer
+
+
+def test_op1_blocks_of_items(spark, monkeypatch):
+    """Many passes over the documents give what one gives, though all items are equal in id and text."""
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 3)
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, f"so {text} so"), (2, "nothing of it")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, text)] * 10 + [(8, "quite another text that stands in no document at all")], "item_id bigint, text string")
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in decontam.contaminated(docs, items).collect()] == [(1, 7, 1.0)] * 10
+    assert [r["doc_id"] for r in decontam.keep_clean(docs, items).collect()] == [2]
 
 
 def test_op2(spark):
