@@ -181,22 +181,6 @@ def test_op3_frames(spark):
     assert back == {1: "a日本b".encode(), 2: b""}
 
 
-def test_op4(spark):
-    docs, first, want = documents(), {}, {}
-    for d in sorted(docs):
-        for u in line_dedup.units(docs[d]):
-            if u[3] is not None:
-                first.setdefault(u[3], d)
-    for d, t in docs.items():
-        found = line_dedup.units(t)
-        want[d] = line_dedup.removable(found, {i for i, u in enumerate(found) if u[3] is not None and first[u[3]] < d})
-    got = {r["doc_id"]: r for r in QUERIES["op4_line_dedup"](spark, SF).collect()}
-    assert {d: r["removed"] for d, r in got.items()} == {d: ",".join(f"{a}:{b}" for a, b in s) for d, s in want.items()}
-    assert any(want.values())
-    for d, r in got.items():
-        assert r["text"] == line_dedup.without(docs[d], want[d])
-
-
 def test_op4_passage(spark):
     passage = "One two three four five six seven. Eight nine ten eleven twelve thirteen. Yes. Fourteen fifteen sixteen seventeen eighteen nineteen twenty! Now more words follow here for good measure."
     rows = [(1, f"Own start of one. {passage} Own end of one."), (2, f"Quite another start.\n{passage}\nQuite another end."), (3, "Clean text of its own. Yes.")]

@@ -55,3 +55,56 @@ def test_repeated_and_null_ids_keep_their_own_text(spark):
     rows = [(1, said[0]), (None, said[0]), (None, said[1]), (None, said[2]), (None, said[2]), (2, said[3]), (2, said[4]), (2, said[4])]
     got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", said[0]), ("None", ""), ("None", said[1]), ("None", said[2]), ("None", ""), ("2", said[3]), ("2", said[4]), ("2", "")])
+
+
+def segments(text):
+    """(start, end, whole line?) of each line or, where it holds several, sentence."""
+    at = 0
+    for line in text.split("\n"):
+        parts = [*re.finditer(r"\S.*?(?:[.!?]+(?=[ \t])|$)", line)]
+        for m in parts:
+            yield at + m.start(), at + m.end(), len(parts) == 1
+        at += len(line) + 1
+
+
+def test_against_plain_search(spark):
+    """What goes has an earlier copy, word for word, and every line or sentence with one goes."""
+    docs = duckdb.sql(f"select doc_id, text from '{DATA}/sf0.01/documents.parquet' order by 1").fetchall()
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    units, grams, n = set(), set(), 0
+    for d, text in docs:
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", text)]
+        gone = [any(x["start"] <= a and b <= x["end"] for x in got[d]["removed"]) for a, b, _ in words] if len(got[d]["removed"]) else [False] * len(words)
+        covered, must, own = [False] * len(words), [False] * len(words), []
+        for start, end, line in segments(text):
+            inside = [i for i, (a, b, _) in enumerate(words) if start <= a and b <= end] if len(words) < 3000 else []
+            unit = " ".join(words[i][2] for i in inside)
+            if len(inside) >= (1 if line else 3):
+                if unit in units:
+                    for i in inside:
+                        covered[i] = must[i] = True
+                units.add(unit)
+        for i in range(len(words) - 19):
+            gram = " ".join(w for *_, w in words[i : i + 20])
+            if gram in grams:
+                covered[i : i + 20] = [True] * 20
+            own.append(gram)
+            if len(own) >= 20:
+                grams.add(own[-20])
+        grams.update(own)
+        if len(words) >= 3000:
+            continue
+        assert all(g for g, m in zip(gone, must) if m), d
+        runs = re.finditer("0+", "".join("01"[c] for c in covered))
+        for m in runs:  # at most two words between removed spans go without a copy of their own
+            assert m.end() - m.start() < 3 or not all(gone[m.start() : m.end()]), (d, m)
+            assert sum(gone[m.start() : m.end()]) <= 2 * 2, (d, m)
+        n += sum(gone)
+    assert n > 10_000
+
+
+def test_frequent_digests_change_nothing(spark, monkeypatch):
+    docs = [(i, f"A line that all of them have in common.\nOwn words of number {i} stand here alone.\nShort one\nA line that all of them have in common.") for i in range(200)]
+    one = sorted(stays(spark, docs))
+    monkeypatch.setattr(line_dedup, "OFTEN", 10**9)
+    assert one == sorted(stays(spark, docs)) and sum("in common" in t for t in one) == 1
