@@ -2,17 +2,19 @@
 
 Evidence of a document: log-odds of good quality (a logistic fit on text statistics) and of toxicity (a logistic fit on
 words and word beginnings that tell the classes apart, by likelihood ratio). Both learn from SAMPLE labelled documents at
-most, those with the least hash of the id; the sample's words are counted on the executors, and at most CANDIDATES of them
-reach the driver, which learns from TERMS.
+most, those with the least hash of the id. The sample's words are counted on the executors; a term is learned from if enough
+documents have it and its likelihood ratio is high enough, however many such terms there are.
 
 Evidence is then pooled over all documents: the mean of each host is shrunk toward the global mean, the mean of each path
-toward its host's, by a prior strength that the method of moments takes from the spread between groups. A document's
-posterior log-odds are its evidence plus what its path's posterior says beyond the global prior. Sites with few documents
-add almost nothing.
+toward its host's, by a prior strength that the method of moments takes from the spread of the groups within their parents
+beyond what their sizes explain. Without such spread, or with too few groups to tell, a group has its parent's mean. A
+document's posterior log-odds are its evidence plus the log-odds of its path's posterior beyond those of the global prior.
+Sites with few documents add little, sites with many say what they are.
 
 A null text is an empty one; null hosts and paths are groups of their own; equal rows are each returned and counted. Labels
-that are null, or contradict each other evenly for one id, are not learned from; without labels of both classes the evidence
-is the smoothed share of the class. Columns besides doc_id, text, the host and the path are not read.
+that are null, or contradict each other evenly for one id, are not learned from; of rows that share a labelled id the one
+with the least hash of its text is. Without labels of both classes the evidence is the smoothed share of the class. An empty
+table gives no rows. Columns besides doc_id, text, the host and the path are not read.
 """
 
 from __future__ import annotations
@@ -25,18 +27,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shalegrid.llm.common import fields, map_rows, small_enough, staged
-from shalegrid.llm.quality_rules import FEATURES, statistics
+from shalegrid.llm.common import fields, map_rows, small_enough, staged, unstage
+from shalegrid.llm.quality_rules import FEATURES, labelled, statistics
 
-SAMPLE, CANDIDATES, TERMS = 10_000, 3_000, 200
-#: Labelled documents that must have a term, the part of the toxic ones, and the least likelihood ratio.
-SUPPORT, SUPPORT_SHARE, RATIO = 12, 0.01, 40.0
+SAMPLE = 10_000
+#: Labelled documents that must have a term, and the least likelihood ratio.
+SUPPORT, RATIO = 6, 20.0
+#: Least hashes of terms by which copies among labelled documents are known.
+SKETCH = 16
 #: Lengths of word beginnings.
 HEADS = range(3, 9)
 #: Probabilities: below the first one quality rejects, from the second one toxicity does.
 GOOD, TOXIC = 0.3, 0.5
-#: The most that a path may move a document's log-odds: evidence of the text itself goes first.
-SHIFT = 1.0
 SALTS = 16
 WORD = re.compile(r"\w+")
 
@@ -89,47 +91,47 @@ class Evidence:
         if not texts:
             return [], []
         x = (np.array([statistics(t)[1] for t in texts], float) - self.mean) / self.scale
-        good = np.clip(self.quality[0] + x @ self.quality[1:], -12, 12)
-        bad = np.clip(self.toxic + np.array([self.term_score(t or "") for t in texts]), -12, 12)
+        good = self.quality[0] + x @ self.quality[1:]
+        bad = self.toxic + np.array([self.term_score(t or "") for t in texts])
         return good.tolist(), bad.tolist()
 
 
-def telling(counts: list[tuple[str, int, int]], limit: int = TERMS) -> list[str]:
+def telling(counts: list[tuple[str, int, float]]) -> list[str]:
     """Of (term, toxic documents, likelihood ratio), best first: those that no shorter beginning of theirs tells as well."""
     ratio = {t: g for t, _, g in counts}
     covered = lambda t: any(ratio.get(f"{t[:k]}*", -1.0) >= ratio[t] for k in HEADS if k < len(t.rstrip("*")) or (k == len(t) and not t.endswith("*")))
-    return [t for t, _, _ in counts if not covered(t)][:limit]
+    return [t for t, _, _ in counts if not covered(t)]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
-    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so the broadcast has a fixed bound
-    taken = docs.select("doc_id", "text").join(F.broadcast(marks.select("doc_id", F.col("q").alias("__q"), F.col("t").alias("__t"))), "doc_id")
+    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("__q"), F.avg("toxic").alias("__t"))
+    taken = labelled(docs, marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     taken = taken.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")  # few rows, much work for each
 
     def make():
         def run(columns: list[list]) -> list[list]:
             terms = [[*terms_of(t)] for t in columns[3]]
-            sketches = [sorted(xxhash.xxh64_intdigest(w) >> 1 for w in ws)[:3] for ws in terms]
+            sketches = [sorted(xxhash.xxh64_intdigest(w) >> 1 for w in ws)[:SKETCH] for ws in terms]
             return [*columns[:3], [statistics(t)[1] for t in columns[3]], terms, sketches]
 
         return run
 
     kinds = "doc_id bigint, q double, t double, x array<double>, terms array<string>, sketch array<bigint>"
     seen = staged(map_rows(taken, ["doc_id", "__q", "__t", "text"], make, fields(kinds), size=1 << 20), "labelled")
-    # Copies would count a term of theirs many times: documents that share their three least term hashes count once.
-    once = seen.where("t is not null and t <> 0.5").dropDuplicates(["sketch"]).select((F.col("t") > 0.5).alias("bad"), "terms")
+    # Copies would count a term of theirs many times: documents that share their least term hashes count once.
+    once = seen.where("t is not null and t <> 0.5").groupBy("sketch").agg(F.min_by(F.struct((F.col("t") > 0.5).alias("bad"), "terms"), "doc_id").alias("s")).select("s.*")
     n = once.agg(F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
     n1, n0 = n["bad"], n["all"] - n["bad"]
     terms: list[str] = []
     if n1 and n0:
         by_term = once.select("bad", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(F.col("bad").cast("long")).alias("a"), F.count("*").alias("n"))
-        by_term = by_term.where(f"n >= {max(SUPPORT, SUPPORT_SHARE * n1)} and a * {n1 + n0}D > n * {n1}D")
+        by_term = by_term.where(f"n >= {SUPPORT} and a * {n1 + n0}D > n * {n1}D")
         by_term = by_term.selectExpr("term", "a", f"2 * (a * ln(a / (n * {n1 / (n1 + n0)}D)) + (n - a) * ln(greatest(n - a, 0.5D) / (n * {n0 / (n1 + n0)}D))) as g").where(F.col("g") >= RATIO)
-        terms = telling([(r["term"], r["a"], r["g"]) for r in by_term.orderBy(F.desc("g"), "term").limit(CANDIDATES).collect()])
+        terms = telling([(r["term"], r["a"], r["g"]) for r in by_term.orderBy(F.desc("g"), "term").collect()])
     place = {t: i for i, t in enumerate(terms)}
     scored = seen.select("doc_id", "q", "t", "x", F.array_intersect("terms", F.array(*map(F.lit, terms)).cast("array<string>")).alias("terms")).collect()
-    scored = sorted(scored, key=lambda r: (r["doc_id"], r["x"]))[: 2 * sample]  # an id may stand on several rows
+    scored.sort(key=lambda r: r["doc_id"])
+    unstage(seen)
     x = np.array([r["x"] for r in scored], float).reshape(len(scored), len(FEATURES))
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
     q = np.array([np.nan if r["q"] is None or r["q"] == 0.5 else r["q"] for r in scored], float)
@@ -142,24 +144,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
     return Evidence(mean, scale, logistic((x[has_q] - mean) / scale, (q[has_q] > 0.5).astype(float)), dict(zip(terms, toxic[1:].tolist(), strict=True)), float(toxic[0]))
 
 
-def strength(groups: DataFrame, share: str) -> float:
-    """How many documents a prior weighs, from the spread of group means beyond what their sizes explain."""
-    r = groups.where("n > 1").agg(
-        F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(share).alias("s"),
-        F.sum(F.col(f"{share}2") - F.col(share) * F.col(share) / F.col("n")).alias("within"),
-        F.sum(F.col(share) * F.col(share) / F.col("n")).alias("between"), F.sum(F.col("n") * F.col("n")).alias("nn"),
-    ).first()
-    if not r["g"] or r["g"] < 2 or r["n"] <= r["g"]:
-        return 50.0
-    m = r["s"] / r["n"]
-    within = max(r["within"] / (r["n"] - r["g"]), 1e-9)
-    spread = ((r["between"] - r["n"] * m * m) - (r["g"] - 1) * within) / max(r["n"] - r["nn"] / r["n"], 1e-9)
-    return float(np.clip(within / max(spread, 1e-9), 5.0, 1e4))
+def strength(groups: DataFrame, parent: Column, share: str) -> float:
+    """How many documents the parent's mean weighs, from the spread of group means within parents beyond what sizes explain.
+
+    groups: n documents, the sum of the share and of its square. One at least; infinite if there is no such spread, or none
+    can be told.
+    """
+    s, n = F.col(share), F.col("n")
+    inside = groups.groupBy(parent.alias("parent")).agg(
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(share).alias("s"), F.sum(F.col(f"{share}2") - s * s / n).alias("w"), F.sum(s * s / n).alias("b"), F.sum(n * n).alias("nn")
+    )
+    r = inside.agg(F.sum("k").alias("k"), F.count("*").alias("h"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.expr("b - s * s / n")).alias("b"), F.sum(F.expr("n - nn / n")).alias("c")).first()
+    if not r["k"] or r["k"] <= r["h"] or r["n"] <= r["k"] or r["c"] <= 0:
+        return float("inf")
+    within = max(r["w"], 0.0) / (r["n"] - r["k"])
+    spread = (r["b"] - (r["k"] - r["h"]) * within) / r["c"]
+    return max(1.0, within / spread) if spread > 1e-15 else float("inf")
+
+
+def _shrunk(share: Column, parent: Column, weight: float) -> Column:
+    return parent if weight == float("inf") else (share + weight * parent) / (F.col("n") + weight)
 
 
 def _logit(p: Column) -> Column:
-    p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return F.log(p / (1 - p))
+    """Log-odds; the bounds are what doubles can tell from 0 and 1."""
+    p = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
+    return F.log(p) - F.log(1 - p)
 
 
 def _sigmoid(x: Column) -> Column:
@@ -183,21 +193,22 @@ def classify(docs: DataFrame, evidence: Evidence, host: Column | None = None, pa
     paths = staged(shares.groupBy("host", "path").agg(*sums), "paths")
     hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "q", "t", "q2", "t2")))
     total = hosts.agg(*(F.sum(c).alias(c) for c in ("n", "q", "t"))).first()
-    prior = {c: float(total[c] / total["n"]) if total["n"] else 0.5 for c in "qt"}
-    of_host, of_path = ({c: strength(x, c) for c in "qt"} for x in (hosts, paths))
-    up = hosts.select(F.col("host").alias("__host"), *(((F.col(c) + of_host[c] * prior[c]) / (F.col("n") + of_host[c])).alias(f"host_{c}") for c in "qt"))
+    prior = {c: (float(total[c] or 0) + 0.5) / ((total["n"] or 0) + 1) for c in "qt"}
+    of_host, of_path = {c: strength(hosts, F.lit(1), c) for c in "qt"}, {c: strength(paths, F.col("host"), c) for c in "qt"}
+    up = hosts.select(F.col("host").alias("__host"), *(_shrunk(F.col(c), F.lit(prior[c]), of_host[c]).alias(f"host_{c}") for c in "qt"))
     table = paths.join(up, F.col("host").eqNullSafe(F.col("__host"))).select(
         F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("n").alias("n_path"),
-        *(((F.col(c) + of_path[c] * F.col(f"host_{c}")) / (F.col("n") + of_path[c])).alias(f"path_{c}") for c in "qt"),
+        *(_shrunk(F.col(c), F.col(f"host_{c}"), of_path[c]).alias(f"path_{c}") for c in "qt"),
     )
     table = staged(table, "posteriors")
+    unstage(paths)
     same = F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path"))
     if small_enough(table):
         both = scored.join(F.broadcast(table), same)
     else:  # a host with a large part of all rows is dealt over SALTS tasks
         salted = table.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         both = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "good", "bad"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("salt") == F.col("__salt")))
-    shift = {c: F.least(F.greatest(_logit(F.col(f"path_{c}")) - _logit(F.lit(prior[c])), F.lit(-SHIFT)), F.lit(SHIFT)) for c in "qt"}
+    shift = {c: _logit(F.col(f"path_{c}")) - _logit(F.lit(prior[c])) for c in "qt"}
     p_q, p_t = _sigmoid(F.col("good") + shift["q"]), _sigmoid(F.col("bad") + shift["t"])
     return both.select(
         "doc_id", "host", "path", "n_path", F.col("good").alias("quality_evidence"), F.col("bad").alias("toxic_evidence"), F.col("path_q").alias("path_quality"), F.col("path_t").alias("path_toxic"),

@@ -5,7 +5,9 @@ statistics that executors compute; every document is then scored in one pass. Mo
 only lower the verdict (monotonic constraints).
 
 A null text has no words and fails the base rules; so does an empty one. Equal rows get equal verdicts. Labels that are null
-or contradict each other for one id (mean 0.5) are not learned from; without labels of both classes the base rules decide.
+or contradict each other for one id (mean 0.5) are not learned from; of rows that share a labelled id the one with the least
+hash of its text is; without labels of both classes the base rules decide. An empty table gives no rows. Columns besides
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -72,6 +74,14 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     ]
 
 
+def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs' text for each id of marks, with its columns: one row for each id, the one with the least hash of the text, so
+    that no more rows than marks has are learned from. marks has a bounded number of rows."""
+    both = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    others = [c for c in marks.columns if c != "doc_id"]
+    return both.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *(F.min(c).alias(c) for c in others))
+
+
 def fails_base(counts: list[int]) -> bool:
     return counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
 
@@ -79,8 +89,8 @@ def fails_base(counts: list[int]) -> bool:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> gbt.Trees:
     """Trees for P(quality = 1), from at most `sample` labelled documents; the driver gets their statistics only."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q <> 0.5")
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so the broadcast has a fixed bound
-    taken = docs.select("doc_id", "text").join(F.broadcast(marks.select("doc_id", F.expr("q > 0.5").alias("__good"))), "doc_id")
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.expr("q > 0.5").alias("__good"))
+    taken = labelled(docs, marks)
 
     def make():
         def run(columns: list[list]) -> list[list]:
@@ -89,8 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> gbt.Trees
         return run
 
     rows = map_rows(taken, ["doc_id", "__good", "text"], make, fields("doc_id bigint, good boolean, x array<double>")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"], r["good"]))
-    rows = rows[: 2 * sample]  # an id may stand on several rows
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return gbt.fit(x, np.array([r["good"] for r in rows], float), list(FEATURES.values()))
 
@@ -115,7 +124,7 @@ def score(docs: DataFrame, trees: gbt.Trees, cut: float = CUT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, trees: gbt.Trees, cut: float = CUT) -> DataFrame:
-    """The rows that pass, with all their columns."""
+    """The rows that pass, with all their columns, whatever their ids; null and empty texts do not."""
 
     def make():
         def run(columns: list[list]) -> list[bool]:

@@ -35,13 +35,14 @@ def test_op1(spark):
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     words = lambda t: re.findall(r"\w+", t.lower())
     grams = lambda w: Counter(" ".join(w[i : i + 5]) for i in range(len(w) - 4))
+    alike = lambda a, b: (a & b).total() / max(1, (a | b).total())
     want, docs = set(), documents()
     for d, t in docs.items():
         w = words(t)
         have = set(grams(w))
         for i, x in items:
             g, n = grams(words(x)), len(words(x))
-            if not have.isdisjoint(g) and max((decontam.similarity(g, grams(w[s : s + n])) for s in range(max(1, len(w) - n + 1))), default=0) >= 0.8:
+            if not have.isdisjoint(g) and max((alike(g, grams(w[s : s + n])) for s in range(max(1, len(w) - n + 1))), default=0) >= 0.8:
                 want.add((d, i))
     got = QUERIES["op1_decontaminate"](spark, SF).collect()
     assert want == {(r["doc_id"], r["item_id"]) for r in got} and want
@@ -78,7 +79,8 @@ def test_op1_recall_against_exact_similarity():
                 copy[rnd.choice([0, 1, -1, -2, rnd.randrange(len(w))])] = "other"
             text = [*rnd.choices(words, k=7), *copy, *rnd.choices(words, k=5)]
             grams = lambda x: Counter(decontam.shingles(x, 5))
-            if max(decontam.similarity(grams(w), grams(text[s : s + len(w)])) for s in range(13)) >= 0.8:
+            alike = lambda a, b: (a & b).total() / (a | b).total()
+            if max(alike(grams(w), grams(text[s : s + len(w)])) for s in range(13)) >= 0.8:
                 want += 1
                 got += any(m[0] == i for m in index.matches(" ".join(text)))
     assert want > 700 and got >= 0.999 * want
@@ -404,7 +406,96 @@ def test_op9_accuracy(spark):
     rows = quality_bayes.classify(docs, quality_bayes.train(docs, labels.where("doc_id % 2 = 0"))).join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", labels["toxic"], "p_quality", "p_toxic").collect()
     assert sum((r["p_quality"] >= 0.5) == r["quality"] for r in rows) >= 0.97 * len(rows)
     toxic, clean = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
-    assert sum(r["p_toxic"] >= 0.5 for r in toxic) >= 0.7 * len(toxic) and sum(r["p_toxic"] >= 0.5 for r in clean) <= 0.01 * len(clean)
+    assert sum(r["p_toxic"] >= 0.5 for r in toxic) >= 0.85 * len(toxic) and sum(r["p_toxic"] >= 0.5 for r in clean) <= 0.01 * len(clean)
+
+
+def told():
+    """Evidence that stands in the texts themselves: quality and toxicity."""
+    return lambda texts: ([float(t.split()[0]) for t in texts], [float(t.split()[1]) for t in texts])
+
+
+def plain_posteriors(rows):
+    """[(p_quality, p_toxic)] of rows (host, path, text): the method of moments, then two levels of shrinkage."""
+    import math
+
+    out = []
+    sigmoid, logit = lambda x: 1 / (1 + math.exp(-x)), lambda p: math.log(p / (1 - p))
+    for k in range(2):
+        evidence = [float(t.split()[k]) for *_, t in rows]
+        share = [sigmoid(x) for x in evidence]
+
+        def strength(groups, parents):
+            """groups, parents: the group and the parent of each row."""
+            by, up = {}, {}
+            for g, parent, x in zip(groups, parents, share, strict=True):
+                by.setdefault((parent, g), []).append(x)
+            for (parent, _), xs in by.items():
+                up.setdefault(parent, []).append(xs)
+            n, c, h = len(share), len(by), len(up)
+            mean = lambda xs: sum(xs) / len(xs)
+            if c <= h or n <= c:
+                return math.inf
+            within = sum((x - mean(xs)) ** 2 for xs in by.values() for x in xs) / (n - c)
+            between = sum(len(xs) * (mean(xs) - mean([x for y in all_xs for x in y])) ** 2 for all_xs in up.values() for xs in all_xs)
+            weight = sum(sum(map(len, all_xs)) - sum(len(xs) ** 2 for xs in all_xs) / sum(map(len, all_xs)) for all_xs in up.values())
+            spread = (between - (c - h) * within) / weight
+            return max(1.0, within / spread) if spread > 1e-15 else math.inf
+
+        hosts, paths = [r[0] for r in rows], [r[:2] for r in rows]
+        prior = (sum(share) + 0.5) / (len(share) + 1)
+        a, b = strength(hosts, [0] * len(rows)), strength(paths, hosts)
+        shrunk = lambda xs, parent, w: parent if w == math.inf else (sum(xs) + w * parent) / (len(xs) + w)
+        made = []
+        for (host, path, _), e in zip(rows, evidence, strict=True):
+            up = shrunk([x for x, h in zip(share, hosts) if h == host], prior, a)
+            p = shrunk([x for x, q in zip(share, paths) if q == (host, path)], up, b)
+            made.append(sigmoid(e + logit(p) - logit(prior)))
+        out.append(made)
+    return list(zip(*out, strict=True))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_op9_posteriors(spark, monkeypatch, broadcast):
+    """Every posterior against a plain computation; the salted join too."""
+    from shalegrid.llm import quality_bayes
+
+    if not broadcast:
+        monkeypatch.setattr(quality_bayes, "small_enough", lambda _: False)
+    rnd = random.Random(9)
+    rows = []
+    for h in range(12):
+        lean = rnd.gauss(0, 1.5)
+        for _ in range(rnd.choice([1, 2, 5, 40])):
+            rows.append((None if h == 3 else f"h{h}", rnd.choice(["p", "q", None]), f"{rnd.gauss(-lean, 1):.6f} {rnd.gauss(lean, 1):.6f}"))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, source string, lang string, text string")
+    got = {r["doc_id"]: r for r in quality_bayes.classify(df, told()).collect()}
+    assert len(got) == len(rows)
+    for i, (q, t) in enumerate(plain_posteriors(rows)):
+        assert got[i]["p_quality"] == pytest.approx(q, rel=1e-9) and got[i]["p_toxic"] == pytest.approx(t, rel=1e-9)
+        assert got[i]["toxic"] == (t >= quality_bayes.TOXIC) and got[i]["kept"] == (q >= quality_bayes.GOOD and t < quality_bayes.TOXIC)
+
+
+def test_op9_sites_change_verdicts(spark):
+    """Weak evidence on sites that lean one way: pooling decides what the text alone gets wrong, and sparse sites stay near
+    what the text says."""
+    from shalegrid.llm import quality_bayes
+
+    rnd = random.Random(10)
+    rows, truth = [], []
+    for h in range(300):
+        share = rnd.choice([0.02, 0.9])
+        for _ in range(rnd.choice([1, 3, 30])):
+            toxic = rnd.random() < share
+            truth.append(toxic)
+            rows.append((len(rows), f"h{h}", "p", f"3 {rnd.gauss(1.0 if toxic else -1.0, 1.4):.6f}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
+    got = {r["doc_id"]: r for r in quality_bayes.classify(df, told()).collect()}
+    alone = sum((got[i]["toxic_evidence"] >= 0) == t for i, t in enumerate(truth))
+    pooled = sum(got[i]["toxic"] == t for i, t in enumerate(truth))
+    changed = sum(got[i]["toxic"] != (got[i]["toxic_evidence"] >= 0) for i in range(len(rows)))
+    assert changed > 0.05 * len(rows) and pooled > alone + 0.05 * len(rows)
+    shift = lambda n: max(abs(r["path_toxic"] - 0.5) for r in got.values() if r["n_path"] == n)
+    assert shift(1) < shift(30)
 
 
 def plain_counts(t):
@@ -444,6 +535,28 @@ def test_op10_accuracy_and_order():
             assert (sign * (trees.margin(more) - trees.margin(x)) >= -1e-9).all()
 
 
+def test_op10_margin_node_by_node():
+    """The flat arrays against a walk of each tree, row by row."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)).round(1)
+    trees = gbt.fit(x, (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=400) > 1).astype(float), [1, 0, 0])
+
+    def walk(node, row):
+        if trees.feature[node] < 0:
+            return trees.value[node]
+        return walk(trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node], row)
+
+    want = [trees.base + sum(walk(root, row) for root in trees.roots) for row in x]
+    assert np.allclose(trees.margin(x), want) and len(trees.roots) > 10 and len(set(want)) > 50
+
+
+def test_op10_learns_from_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (None, "none")], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1, True), (2, False), (3, True)], "doc_id bigint, __good boolean")
+    rows = quality_rules.labelled(docs, marks).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 2]
+
+
 def test_pipeline(spark):
     """Stage by stage against plain versions."""
     import corpus_pipeline
