@@ -92,6 +92,15 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAS
     return seen["n"] <= rows and seen["b"] <= size
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    have = {c.lower() for c in df.columns}
+    width = 2
+    while any(("_" * width + n).lower() in have for n in names):
+        width += 1
+    return ["_" * width + n for n in names]
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     frames = list(frames)
     out = frames[0]

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shalegrid.llm.common import null_to_empty, small_enough, staged
+from shalegrid.llm.common import null_to_empty, small_enough, staged, unused
 
 #: Fixed patterns of the base kinds, in listed order.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -107,11 +107,15 @@ def _tagged(column: str, **tags: str) -> Column:
 def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     """(doc_id, key, added): the weak candidates that have a complementary part in reach; rows without are absent."""
     kinds = [*ROLES]
-    marks = F.concat(*(_tagged(k, kind=k, role=ROLES[k]) for k in kinds))
+    marks = F.concat(*(_tagged(k, kind=k, role=ROLES[k]) for k in kinds), _tagged("breaks", kind="break", role="break"))
     roles = [reduce(lambda a, b: a | b, (F.size(k) > 0 for k in kinds if ROLES[k] == r)) for r in ("id", "secret", "endpoint")]
     weak = reduce(lambda a, b: a | b, (F.size(k) > 0 for k in WEAK))
     several = sum((r.cast("int") for r in roles[1:]), roles[0].cast("int")) >= 2
-    rows = found.where(weak & several).select("doc_id", "key", "breaks", F.explode(marks).alias("m")).select("doc_id", "key", F.size(F.filter("breaks", lambda b: b["end"] <= F.col("m.start"))).alias("scope"), "m.*").distinct()
+    rows = found.where(weak & several).select("doc_id", "key", F.explode(marks).alias("m")).select("doc_id", "key", "m.*").distinct()
+    # A mark's scope is the number of breaks that end at or before its start: a running count over one sorted pass.
+    is_break = F.col("kind") == "break"
+    order = Window.partitionBy("doc_id", "key").orderBy(F.when(is_break, F.col("end")).otherwise(F.col("start")), F.when(is_break, 0).otherwise(1))
+    rows = rows.withColumn("scope", F.count_if(is_break).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(~is_break)
     scope = Window.partitionBy("doc_id", "key", "scope")
     back = scope.orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     ahead = scope.orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
@@ -167,12 +171,19 @@ def masked(text: Column, spans: Column, mask: str) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", reach: int = REACH) -> DataFrame:
-    """docs, all columns and rows kept, with the text of every span replaced by the mask and n_chars set anew."""
-    hits = staged(scan(docs, reach).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans")).dropDuplicates(["__id", "__key"]), "hits")
+    """docs, all columns and rows kept, with the text of every span replaced by the mask and n_chars set anew.
+
+    Null texts stay null, texts without spans as they are, whatever their ids; equal rows are each returned; an empty table
+    gives no rows. A column n_chars of docs follows the text, others may have any names.
+    """
+    own_id, own_key, own_spans = unused(docs, "id", "key", "spans")
+    places = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    hits = scan(docs, reach).where(F.size("spans") > 0).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), places.alias(own_spans)).dropDuplicates([own_id, own_key])
+    hits = staged(hits, "hits")
     right = F.broadcast(hits) if small_enough(hits) else hits
-    both = docs.join(right, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(null_to_empty()) == F.col("__key")), "left")
-    text = F.when(F.size("__spans") > 0, masked(F.col("text"), F.col("__spans"), mask)).otherwise(F.col("text"))
+    both = docs.join(right, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64(null_to_empty()) == F.col(own_key)), "left")
+    text = F.when(F.size(own_spans) > 0, masked(F.col("text"), F.col(own_spans), mask)).otherwise(F.col("text"))
     both = both.withColumn("text", text)
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        both = both.withColumn("n_chars", F.when(F.size(own_spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return both.select(*docs.columns)
