@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data: a keyed Feistel permutation within each value's own format.
 
 Found and validated: e-mail addresses, payment card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social security
-numbers, IPv4 addresses, telephone numbers in international or North American writing, and calendar dates. Each value is
+numbers, IPv4 addresses, telephone numbers in international or North American writing (ten digits without marks too), and
+calendar dates, also before a time. Digits are 0 to 9; other scripts' digits are text. Each value is
 permuted within the values of its format: digits stay digits, separators stay, a card keeps its length and its Luhn sum, an
 IBAN its country and check sum, a date is again a date of 1900 to 2099 in the same notation, a local part keeps its letter,
 digit and mark places. The same value gets the same pseudonym in every document under one key, however it is separated or
@@ -9,7 +10,7 @@ cased, so records stay linked; the permutation can be undone by who has the key.
 
 A null text stays null and has no spans; an empty text stays empty. Equal rows get equal results; each row is returned.
 Spans are code points of the original text, ends exclusive. Columns besides doc_id and text are not read. Two findings never
-overlap: of those that begin first, the longer one counts.
+overlap: of those that begin first, the longer one counts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,18 +29,20 @@ from shalegrid.llm.common import fields, map_rows
 KINDS = ("email", "card", "iban", "ssn", "ip", "phone", "date")
 EMAIL_LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?\Z")
 EMAIL_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-#: A run that begins with a digit, + or ( and holds digits and separators; what it is, is decided after.
-NUMBER = re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[ ().,/-]{0,2}\d)+(?![\w])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: A run that begins with a digit, + or ( and holds digits and separators; what it is, is decided after. A time may follow.
+NUMBER = re.compile(r"(?<![\w.])(?:\+|\()?[0-9](?:[ ().,/-]{0,2}[0-9])+(?:(?!\w)|(?=T[0-9]{2}:))")
 #: Where a run of several values is cut: blanks, commas, slashes, brackets, and a sentence's end.
-CUT = re.compile(r"[).]*[ ,/]+|\)[.-]*(?=[(\d])|(?=\()")
+CUT = re.compile(r"[).]*[ ,/]+|\)[.-]*(?=[(0-9])|(?=\()")
 #: Characters of the longest value: 19 digits of a card with a separator between each, and brackets.
 LONGEST = 41
-CARD = re.compile(r"\d(?:[ -]?\d){12,18}\Z")
-SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}\Z")
-IP = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}\Z")
-PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})\Z")
-DATE = re.compile(r"(?:(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d\d?)(?P=s)(?P<d>\d\d?)|(?P<d2>\d\d?)(?P<s2>[-/.])(?P<m2>\d\d?)(?P=s2)(?P<y2>\d{4}))\Z")
+CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}\Z")
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}([- ])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}\Z")
+IP = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}\Z")
+#: With + or 00 before the country; ten digits in groups of 3, 3 and 4; ten digits that begin as an area code does.
+PHONE = re.compile(r"(?:(?:\+|00[ .-]?)[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([-. ])[0-9]{3}\1[0-9]{4}|[2-9][0-9]{9})\Z")
+COUNTRY = re.compile(r"(?:\+|00[ .-]?)[0-9]{1,3}(?=[ .(-])|\+[0-9]|00(?=[0-9]{8})|")
+DATE = re.compile(r"(?:(?P<y>[0-9]{4})(?P<s>[-/.])(?P<m>[0-9]{1,2})(?P=s)(?P<d>[0-9]{1,2})|(?P<d2>[0-9]{1,2})(?P<s2>[-/.])(?P<m2>[0-9]{1,2})(?P=s2)(?P<y2>[0-9]{4}))\Z")
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 ROUNDS = 10
 
@@ -110,12 +113,12 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str:
         areas = [a for a in range(1, 900) if a != 666]
         area, group, serial = areas.index(int(digits[:3])), int(digits[3:5]) - 1, int(digits[5:]) - 1
         v = permuted(key, kind, (area * 99 + group) * 9999 + serial, len(areas) * 99 * 9999, back)
-        return f"{areas[v // 9999 // 99]:03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
+        return _refill(text, f"{areas[v // 9999 // 99]:03d}{v // 9999 % 99 + 1:02d}{v % 9999 + 1:04d}")
     if kind == "ip":
         v = permuted(key, kind, int.from_bytes(bytes(map(int, text.split("."))), "big"), 1 << 32, back)
         return ".".join(map(str, v.to_bytes(4, "big")))
     if kind == "phone":
-        prefix = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", text)[0]
+        prefix = COUNTRY.match(text)[0]
         rest = text[len(prefix) :]
         own = "".join(c for c in rest if c.isdigit())
         return prefix + _refill(rest, str(permuted(key, f"phone{len(own)}", int(own), 10 ** len(own), back)).zfill(len(own)))
@@ -138,8 +141,9 @@ def _kind(text: str) -> str | None:
         except ValueError:
             return None
     if CARD.match(text):
-        digits = re.sub(r"\D", "", text)
-        return "card" if luhn(digits) and len(set(digits)) > 1 else None
+        digits = re.sub(r"[^0-9]", "", text)
+        if luhn(digits) and len(set(digits)) > 1:
+            return "card"
     return "phone" if PHONE.match(text) else None
 
 
@@ -165,7 +169,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     while at >= 0:
         domain = EMAIL_DOMAIN.match(text, at + 1)
         begin = at
-        while begin > 0 and at - begin < 64 and (text[begin - 1].isascii() and (text[begin - 1].isalnum() or text[begin - 1] in "._%+-")):
+        while begin > 0 and (text[begin - 1].isascii() and (text[begin - 1].isalnum() or text[begin - 1] in "._%+-")):
             begin -= 1
         while begin < at and not text[begin].isalnum():
             begin += 1

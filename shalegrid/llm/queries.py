@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.shalegrid.pii.key", "an example key; a deployment sets its own")
-    out = pii.pseudonymize(documents(spark, sf_dir), key.encode())
+    """Under the key in spark.shalegrid.pii.key; where it is unset, under a random one that nobody keeps, so that equal values
+    are linked within the result only."""
+    key = spark.conf.get("spark.shalegrid.pii.key", None)
+    out = pii.pseudonymize(documents(spark, sf_dir), key.encode() if key else secrets.token_bytes(32))
     return out.withColumn("spans", _spans("spans", "kind", "start", "end"))
 
 
