@@ -5,8 +5,8 @@ one segment's popcount by one, so fingerprints within Hamming distance 2 have ce
 cells meet in a cell that lies within 1 of both. Each fingerprint therefore goes to its own cell and the cells next to it (33
 at most), and an equi-join on the cell finds every pair within the bound once; the true distance is then checked.
 
-A cell with many fingerprints is not joined with itself: its members are dealt anew by the exact fingerprints at most one
-bit away from them. Members that share such a midpoint are all within distance 2 of one another, and every pair within 2
+A cell with more than CROWDED fingerprints is not joined with itself: its members are dealt anew by the exact fingerprints at
+most one bit away from them. Both ways are exact; which one a cell takes never changes what is linked. Members that share such a midpoint are all within distance 2 of one another, and every pair within 2
 shares one, so linking each to the least of them keeps all links, without pairs.
 """
 
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalegrid.llm.common import fields, map_rows, staged
+from shalegrid.llm.common import fields, map_rows, staged, unstage, unused
 from shalegrid.llm.components import connected_components
 
 WORDS = 3
@@ -99,8 +99,9 @@ def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def _with_components(fps: DataFrame, crowded: int) -> DataFrame:
-    """fps (fp, doc_id, any more columns) with component_id, and group: a fingerprint that names the component."""
+def _with_components(fps: DataFrame, crowded: int) -> tuple[DataFrame, list[DataFrame]]:
+    """fps (fp, doc_id, any more columns) with component_id, and group: a fingerprint that names the component; and the staged
+    tables that it reads besides fps."""
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "classes")
     # A node is its class's fingerprint, so that rows that share a doc_id but no text never fall together.
     edges = links(classes.select(F.col("fp").alias("node"), "fp"), crowded)
@@ -109,12 +110,13 @@ def _with_components(fps: DataFrame, crowded: int) -> DataFrame:
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_fp = comps.join(least, "component").select(F.col("node").alias("fp"), "component", "least")
     heads = staged(classes.join(of_fp, "fp", "left").select("fp", "n", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("component", "fp").alias("group")), "heads")
+    unstage(classes, comps)
     # A fingerprint that many rows share would make one task of the join large. At most HOT fingerprints can have one in
     # HOT of all rows: those are sent to every task, and the rows of the others are dealt by fingerprint.
     rows = fps.count()
     hot = F.broadcast(heads.where(F.col("n") * HOT >= rows).drop("n"))
     often, rarely = fps.join(hot, "fp"), fps.join(hot, "fp", "left_anti").join(heads.where(F.col("n") * HOT < rows).drop("n"), "fp")
-    return often.unionByName(rarely)
+    return often.unionByName(rarely), [heads]
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED) -> DataFrame:
@@ -124,7 +126,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED)
     others. A null doc_id takes part with its text; where a component has null ids only, its component_id is null. Rows that
     repeat a doc_id are each returned; an empty table gives no rows.
     """
-    known = _with_components(staged(fingerprints(docs, words), "fingerprints"), crowded)
+    known, _ = _with_components(staged(fingerprints(docs, words), "fingerprints"), crowded)
     return known.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -132,8 +134,10 @@ def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row of docs for each component: that of its least doc_id, null last.
 
     A row is known by its doc_id and text, so rows that repeat an id or have none stay where their components differ. Of a
-    component's rows with one id, that with the least digest of the text stays; of rows equal in both, any one.
+    component's rows with one id, that with the least digest of the text stays; of rows equal in both, any one. Null texts
+    count as empty ones. An empty table gives no rows; columns besides doc_id and text may have any names.
     """
+    own_id, own_digest, own_text = unused(docs, "id", "digest", "text")
     digest = F.md5(F.coalesce("text", F.lit("")))
 
     def make():
@@ -141,7 +145,9 @@ def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     fps = staged(map_rows(docs.select("doc_id", "text", digest.alias("digest")), ["doc_id", "text", "digest"], make, fields("doc_id bigint, fp bigint, digest string")), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
-    heads = staged(_with_components(fps, CROWDED).groupBy("group").agg(least).select(F.col("least.doc_id").alias("__id"), F.col("least.digest").alias("__digest")), "firsts")
-    kept = docs.withColumn("__text", digest).join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_semi")
-    equal = fps.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "__text"]) if equal else kept).drop("__text")
+    grouped, used = _with_components(fps, CROWDED)
+    firsts = staged(grouped.groupBy("group").agg(least).select(F.col("least.doc_id").alias(own_id), F.col("least.digest").alias(own_digest)), "firsts")
+    repeated = fps.join(firsts, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col("digest") == F.col(own_digest)), "left_semi").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
+    unstage(fps, *used)
+    kept = docs.withColumn(own_text, digest).join(firsts, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_text) == F.col(own_digest)), "left_semi")
+    return (kept.dropDuplicates(["doc_id", own_text]) if repeated else kept).drop(own_text)
