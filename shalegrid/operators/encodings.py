@@ -6,7 +6,11 @@ order in it. Inputs have the columns rg, pos and value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shalegrid.functions.bits import bit_width
@@ -79,11 +83,18 @@ def unrun(encoded: DataFrame) -> DataFrame:
     return encoded.select("rg", F.explode(F.expr("sequence(start, start + n - 1)")).alias("pos"), "value")
 
 
+def _wrapped(x: Column) -> Column:
+    """A whole number as the long that it is modulo 2^64."""
+    turn, half = F.lit(Decimal(1 << 64)), F.lit(Decimal(1 << 63))
+    return (F.pmod(x + half, turn) - half).cast("long")
+
+
 def deltas(df: DataFrame) -> DataFrame:
-    """(rg, pos, i, first, delta): differences to the value before; the first row has its value and no difference."""
-    return df.select("rg", "pos", (F.row_number().over(_in_chunk()) - 1).cast("long").alias("i"), "value", F.lag("value").over(_in_chunk()).alias("__b")).select(
-        "rg", "pos", "i", F.when(F.col("i") == 0, F.col("value")).alias("first"), (F.col("value") - F.col("__b")).alias("delta")
-    )
+    """(rg, pos, i, first, delta): differences to the value before, which wrap at 64 bits; the first row has its value and no
+    difference. Nulls have no place."""
+    moved = F.coalesce(F.try_subtract("value", "__b"), _wrapped(F.col("value").cast("decimal(20,0)") - F.col("__b").cast("decimal(20,0)")))
+    numbered = df.where("value is not null").select("rg", "pos", (F.row_number().over(_in_chunk()) - 1).cast("long").alias("i"), "value", F.lag("value").over(_in_chunk()).alias("__b"))
+    return numbered.select("rg", "pos", "i", F.when(F.col("i") == 0, F.col("value")).alias("first"), moved.alias("delta"))
 
 
 def delta_blocks(df: DataFrame) -> DataFrame:
@@ -95,12 +106,14 @@ def delta_blocks(df: DataFrame) -> DataFrame:
     top = moved.groupBy("rg", "block", "miniblock").agg(F.max("delta").alias("__x"), F.count("*").alias("__k"))
     both = top.join(whole, ["rg", "block"])
     largest = F.when(F.col("__k") < MINIBLOCK, F.greatest("__x", F.lit(0))).otherwise(F.col("__x"))
-    return both.select("rg", "block", "miniblock", "least", bit_width(largest - F.col("least")).alias("width"))
+    beyond = F.coalesce(F.try_subtract(largest, F.col("least")), F.lit(-1))  # beyond 63 bits: the width is 64
+    return both.select("rg", "block", "miniblock", "least", bit_width(beyond).alias("width"))
 
 
 def undelta(encoded: DataFrame) -> DataFrame:
     """(rg, pos, value) from deltas()."""
-    return encoded.select("rg", "pos", F.sum(F.coalesce("first", "delta")).over(_in_chunk().rowsBetween(Window.unboundedPreceding, 0)).alias("value"))
+    so_far = F.sum(F.coalesce("first", "delta").cast("decimal(20,0)")).over(_in_chunk().rowsBetween(Window.unboundedPreceding, 0))
+    return encoded.select("rg", "pos", _wrapped(so_far).alias("value"))
 
 
 def lengths(df: DataFrame) -> DataFrame:
@@ -123,19 +136,24 @@ def unjoined(places: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def prefixes(df: DataFrame) -> DataFrame:
     """(rg, pos, prefix, suffix): bytes shared with the string before, and the rest; the first shares none. ASCII and other
-    UTF-8 alike: bytes are compared, and the suffix is hex so that it may begin inside a character."""
-    both = df.select("rg", "pos", F.hex(F.encode("value", "UTF-8")).alias("__h"), F.lag(F.hex(F.encode("value", "UTF-8"))).over(_in_chunk()).alias("__b"))
+    UTF-8 alike: bytes are compared, and the suffix is hex so that it may begin inside a character. Nulls have no place."""
+    both = df.where("value is not null").select("rg", "pos", F.hex(F.encode("value", "UTF-8")).alias("__h"), F.lag(F.hex(F.encode("value", "UTF-8"))).over(_in_chunk()).alias("__b"))
     same = F.expr("case when __b is null then 0 else coalesce(array_position(transform(sequence(1, greatest(1, least(length(__h), length(__b)) div 2)), i -> substring(__h, 2 * i - 1, 2) = substring(__b, 2 * i - 1, 2)), false), 0) end")
     shared = F.expr("case when __b is null or least(length(__h), length(__b)) = 0 then 0 when __at = 0 then least(length(__h), length(__b)) div 2 else __at - 1 end")
     return both.withColumn("__at", same).withColumn("prefix", shared.cast("long")).select("rg", "pos", "prefix", F.expr("substring(__h, cast(2 * prefix as int) + 1, length(__h))").alias("suffix"))
 
 
 def unprefixed(encoded: DataFrame) -> DataFrame:
-    """(rg, pos, value) from prefixes(): each string needs the one before, so a chunk is folded in order."""
+    """(rg, pos, value) from prefixes(): each string needs the one before, so a chunk is read in order by one task."""
     steps = F.array_sort(F.collect_list(F.struct("pos", "prefix", "suffix")))
-    folded = F.aggregate(
-        steps,
-        F.expr("cast(array() as array<struct<pos:bigint,hex:string>>)"),
-        lambda a, x: F.concat(a, F.array(F.struct(x["pos"].alias("pos"), F.concat(F.substring(F.coalesce(F.get(a, F.size(a) - 1)["hex"], F.lit("")), F.lit(1), (x["prefix"] * 2).cast("int")), x["suffix"]).alias("hex")))),
-    )
-    return encoded.groupBy("rg").agg(folded.alias("__all")).select("rg", F.explode("__all").alias("x")).select("rg", "x.pos", F.decode(F.unhex("x.hex"), "UTF-8").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rg, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before, values = b"", []
+                for step in chunk:
+                    before = before[: step["prefix"]] + bytes.fromhex(step["suffix"])
+                    values.append(before.decode())
+                yield pa.RecordBatch.from_pydict({"rg": pa.array([rg] * len(chunk), pa.int64()), "pos": pa.array([x["pos"] for x in chunk], pa.int64()), "value": pa.array(values, pa.string())})
+
+    return encoded.groupBy("rg").agg(steps.alias("steps")).mapInArrow(run, "rg bigint, pos bigint, value string")

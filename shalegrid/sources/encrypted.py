@@ -84,10 +84,13 @@ class _Written(WriterCommitMessage):
 
 
 class EncryptedWriter(DataSourceArrowWriter):
-    """Each task writes a file of its own under a temporary name; commit renames those of the tasks that count."""
+    """Each task writes a file of its own under a temporary name; commit renames those of the tasks that count. Names hold the
+    write's own id, so that no write replaces another's files; with overwrite, files that were there go once the new ones stand."""
 
-    def __init__(self, path: str, keys: dict[str, bytes], options: dict, schema: T.StructType):
-        self.path, self.keys, self.columns = path, keys, schema
+    def __init__(self, path: str, keys: dict[str, bytes], options: dict, schema: T.StructType, overwrite: bool):
+        import uuid
+
+        self.path, self.keys, self.columns, self.overwrite, self.id = path, keys, schema, overwrite, uuid.uuid4().hex
         self.footer, self.by_key, self.plain = options.get("footer_key"), json.loads(options.get("column_keys", "{}")), options.get("plaintext_footer", "false") == "true"
 
     def write(self, iterator):
@@ -104,7 +107,7 @@ class EncryptedWriter(DataSourceArrowWriter):
         config = pe.EncryptionConfiguration(footer_key=self.footer, column_keys=self.by_key or None, plaintext_footer=self.plain, uniform_encryption=not self.by_key)
         system, plain = filesystem(self.path)
         system.create_dir(plain, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():05d}.parquet"
+        name = f"part-{TaskContext.get().partitionId():05d}-{self.id}.parquet"
         temporary = f"{plain}/.{uuid.uuid4().hex}.{name}"
         names = to_arrow_schema(self.columns)
         with system.open_output_stream(temporary) as f, pq.ParquetWriter(f, names, encryption_properties=factory.file_encryption_properties(kms, config)) as out:
@@ -113,12 +116,20 @@ class EncryptedWriter(DataSourceArrowWriter):
         return _Written(temporary, f"{plain}/{name}")
 
     def commit(self, messages):
-        from shalegrid.sources.files import filesystem
+        from pyarrow import fs
 
-        system, _ = filesystem(self.path)
+        from shalegrid.sources.files import data_files, filesystem
+
+        system, plain = filesystem(self.path)
+        system.create_dir(plain, recursive=True)
+        before = data_files(self.path) if self.overwrite else []
         for m in messages:
             if m is not None:
+                if system.get_file_info(m.final).type != fs.FileType.NotFound:
+                    raise FileExistsError(m.final)
                 system.move(m.temporary, m.final)
+        for old in before:
+            system.delete_file(filesystem(old)[1])
 
     def abort(self, messages):
         from shalegrid.sources.files import filesystem
@@ -141,17 +152,17 @@ class EncryptedParquet(DataSource):
         return EncryptedReader(self.options["path"], _keys(self.options), schema)
 
     def writer(self, schema, overwrite):
-        return EncryptedWriter(self.options["path"], _keys(self.options), self.options, schema)
+        return EncryptedWriter(self.options["path"], _keys(self.options), self.options, schema, overwrite)
 
 
 def _option(keys: dict[str, bytes]) -> str:
     return json.dumps({k: base64.b64encode(v).decode() for k, v in keys.items()})
 
 
-def write_encrypted(df: DataFrame, path: str, keys: dict[str, bytes], footer_key: str, column_keys: dict[str, list[str]] | None = None, plaintext_footer: bool = False) -> None:
+def write_encrypted(df: DataFrame, path: str, keys: dict[str, bytes], footer_key: str, column_keys: dict[str, list[str]] | None = None, plaintext_footer: bool = False, mode: str = "append") -> None:
     df.sparkSession.dataSource.register(EncryptedParquet)
     options = {"keys": _option(keys), "footer_key": footer_key, "column_keys": json.dumps(column_keys or {}), "plaintext_footer": str(plaintext_footer).lower()}
-    df.write.format("encrypted_parquet").mode("append").options(**options).save(path)
+    df.write.format("encrypted_parquet").mode(mode).options(**options).save(path)
 
 
 def read_encrypted(spark: SparkSession, path: str, keys: dict[str, bytes], schema: T.StructType) -> DataFrame:

@@ -5,10 +5,15 @@ Row groups are numbered through all files of the path in the order of their name
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Footers that are read side by side to number the row groups.
+FOOTERS_AT_ONCE = 32
+
 
 class _Group(InputPartition):
     def __init__(self, place: int, index: int, path: str, group: int):
@@ -24,11 +29,14 @@ class RowGroupReader(DataSourceReader):
 
         from shalegrid.sources.files import data_files, filesystem
 
-        groups = []
-        for p in data_files(self.path):
+        def count(p: str) -> int:
             system, plain = filesystem(p)
             with system.open_input_file(plain) as f:
-                groups += [(p, g) for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+                return pq.ParquetFile(f).metadata.num_row_groups
+
+        files = data_files(self.path)
+        with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:  # footers only; the wait is for the store, not for work
+            groups = [(p, g) for p, n in zip(files, pool.map(count, files), strict=True) for g in range(n)]
         wanted = range(len(groups)) if self.wanted is None else self.wanted
         beyond = [i for i in wanted if not 0 <= i < len(groups)]
         if beyond:

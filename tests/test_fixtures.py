@@ -1,18 +1,22 @@
 """Literal inputs: levels, encodings, footers, options, encryption, errors."""
 
+import json
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 from conftest import DATA
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shalegrid.functions import bits, crypto, hashing
 from shalegrid.operators import bloom
 from shalegrid.operators import encodings as E
+from shalegrid.operators import payloads as P
 from shalegrid.operators.nested import assemble_list, assemble_map, assemble_nested_list, assemble_struct, shred
 from shalegrid.operators.schema import SchemaBuilder, leaves
 from shalegrid.operators.stats import chunk_stats
@@ -244,6 +248,130 @@ def test_encryption(spark, tmp_path):
         spark.read.parquet(path).collect()
 
 
+def test_encrypted_appends_and_overwrites(spark, tmp_path):
+    keys, path, kind = {"f": b"\x42" * 16}, f"{tmp_path}/sealed", spark.range(1).schema
+    for k in range(2):
+        write_encrypted(spark.range(10 * k, 10 * k + 10).repartition(3), path, keys, "f")
+    assert sorted(r[0] for r in read_encrypted(spark, path, keys, kind).collect()) == [*range(20)]
+    write_encrypted(spark.range(100, 105), path, keys, "f", mode="overwrite")
+    assert sorted(r[0] for r in read_encrypted(spark, path, keys, kind).collect()) == [*range(100, 105)]
+
+
+def page_bytes(path, column=0):
+    """The bytes of a column's one data page, with its header."""
+    chunk = pq.ParquetFile(path).metadata.row_group(0).column(column)
+    end = (chunk.dictionary_page_offset or chunk.data_page_offset) + chunk.total_compressed_size
+    return path.read_bytes()[chunk.data_page_offset : end]
+
+
+def plain_table(values, path, **options):
+    schema = pa.schema([pa.field("x", pa.int64(), nullable=False)])
+    pq.write_table(pa.table({"x": values}, schema=schema), path, compression="none", data_page_version="1.0", **options)
+
+
+def test_payloads_read_pages_of_another_writer(tmp_path):
+    rnd = random.Random(8)
+    for k, values in enumerate([[100, 102, 105, 110, 115, 120, 130, 140, 150, 200], [rnd.randint(-(2**62), 2**62) for _ in range(1000)], [-(2**63), 2**63 - 1, 0, -1] * 33, [5]]):
+        plain_table(values, path := tmp_path / f"d{k}.parquet", use_dictionary=False, column_encoding={"x": "DELTA_BINARY_PACKED"})
+        data = page_bytes(path)
+        body = data[data.index(b"\x80\x02\x04") :]  # that writer's blocks have 256 differences
+        assert P.undelta(body).tolist() == values == P.undelta(P.delta(np.array(values))).tolist()
+    values = [rnd.choice([1, 1, 2, 3]) for _ in range(100)] + [7] * 100 + [rnd.randrange(9) for _ in range(77)] + [4] * 9
+    plain_table(values, path := tmp_path / "rle.parquet", use_dictionary=True)
+    entries = [*dict.fromkeys(values)]
+    indices = [entries.index(v) for v in values]
+    data, width = page_bytes(path), P.width_of(len(entries) - 1)
+    bodies = [data[i + 1 :] for i in range(len(data) - 1) if data[i] == width]
+    assert any(P.unhybrid(b, width, len(values)).tolist() == indices for b in bodies)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_payload_round_trips(seed):
+    rnd = random.Random(seed)
+    for width in (1, 2, 3, 7, 8, 9, 17, 31, 63):
+        values = np.array([v for _ in range(30) for v in [rnd.getrandbits(width)] * rnd.choice([1, 1, 2, 7, 8, 9, 20, 300])], np.int64)
+        assert P.unpacked(P.packed(values, width), width, len(values)).tolist() == values.tolist()
+        assert P.unhybrid(P.hybrid(values, width), width, len(values)).tolist() == values.tolist()
+    assert P.unhybrid(b"", 3, 4).tolist() == [0] * 4 == P.unhybrid(b"\x08\x00", 0, 4).tolist()
+    # Two runs of eight, then four values packed as one group: a header and the value, twice, and a header and a byte.
+    assert P.hybrid(np.array([0] * 8 + [1] * 8 + [0, 1, 0, 1]), 1) == bytes([16, 0, 16, 1, 3, 0b1010])
+    assert P.prefixed(b"ab") == b"\x02\0\0\0ab" and P.uleb(300) == b"\xac\x02"
+    some = [None, 5, None, None, -1] * 9
+    assert P.unpage(P.page(some, 1), 45) == some == P.unpage(P.page(some, 2), 45)
+
+
+def test_payload_frames(spark):
+    values = [3, None, 0, 3, 3, 3, 3, 3, 3, 3, 3, 1, None, 2]
+    df = chunk(spark, values, "bigint", 5)
+    for kind in P.KINDS:
+        rows = P.decoded(P.encoded(df, kind), kind).orderBy("rg", "i").collect()
+        assert [r["value"] for r in rows] == [v for v in values if v is not None], kind
+    assert P.encoded(df.where("false"), "delta").collect() == []
+    assert [r["value"] for r in P.page_values(P.pages(df, 2)).orderBy("rg", "i").collect()] == values
+
+
+def test_deltas_wrap_and_leave_nulls_out(spark):
+    values = [9, -(2**63), 2**63 - 1, None, 0]
+    df = chunk(spark, values, "bigint")
+    assert values_of(E.undelta(E.deltas(df))) == [v for v in values if v is not None]
+    assert E.delta_blocks(df).first()["width"] == 64
+    names = chunk(spark, ["abc", None, "abd", None, ""], "string")
+    assert [(r["prefix"], r["suffix"]) for r in E.prefixes(names).orderBy("pos").collect()] == [(0, "616263"), (2, "64"), (0, "")]
+    assert values_of(E.unprefixed(E.prefixes(names))) == ["abc", "abd", ""]
+
+
+def test_leaves_are_those_of_written_files(spark, tmp_path):
+    """Paths and levels against what the file format's own footer says."""
+    from shalegrid.plans.scans import fixture_schemas
+
+    for name, schema in fixture_schemas().items():
+        arrow = pa.schema([pa.field(f.name, t.type, f.nullable) for f, t in zip(schema.fields, to_arrow_schema(schema), strict=True)])
+        pq.write_table(arrow.empty_table(), f"{tmp_path}/{name}.parquet")
+        said = footers(spark, f"{tmp_path}/{name}.parquet", "leaf").orderBy("column").collect()
+        assert [(r["path"], r["max_def"], r["max_rep"]) for r in said] == [(x.path, x.max_def, x.max_rep) for x in leaves(schema)], name
+
+
+def test_every_write_option_shows_in_the_file(spark, tmp_path):
+    from shalegrid.plans.sinks import ROUNDTRIPS
+
+    orders = spark.read.parquet(f"{DATA}/sf0.001/orders.parquet").coalesce(1)
+    sizes = {}
+    for name, options in ROUNDTRIPS.items():
+        write(orders, f"{tmp_path}/{name}", options)
+        (file,) = (tmp_path / name).glob("*.parquet")
+        sizes[name] = file.stat().st_size
+        meta = pq.ParquetFile(file).metadata
+        chunk = meta.row_group(0).column(orders.columns.index("o_custkey"))
+        assert chunk.compression.lower() == {"none": "uncompressed", "lz4_raw": "lz4"}.get(options.compression, options.compression), name
+        assert chunk.is_stats_set == options.statistics, name
+        assert chunk.has_dictionary_page == options.dictionary, name
+        # Version 2 packs keys without a dictionary as deltas; either version's pages are read by another library.
+        assert pq.read_table(file).num_rows == orders.count()
+    assert sizes["bloom"] >= sizes["uncompressed"] + 10_000 * 10 // 8  # the filter's bits stand in the file
+    plain = WriteOptions(page_version=2)
+    write(orders, f"{tmp_path}/plain2", plain)
+    (file,) = (tmp_path / "plain2").glob("*.parquet")
+    assert "DELTA_BINARY_PACKED" in pq.ParquetFile(file).metadata.row_group(0).column(0).encodings
+
+
+def test_values_of_queries_without_sql(spark):
+    from shalegrid.registry import QUERIES
+
+    sf = f"{DATA}/sf0.001"
+    names = {r["c_custkey"]: r["c_name"].encode() for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    assert {r["c_custkey"]: r["crc"] for r in QUERIES["fn_crc32"](spark, sf).collect()} == {k: zlib.crc32(v) for k, v in names.items()}
+    for r in QUERIES["fn_xxhash64"](spark, sf).collect():
+        assert (r["seed42"] % 2**64, r["seed0"] % 2**64) == tuple(xxhash.xxh64_intdigest(names[r["c_custkey"]], s) for s in (42, 0))
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert {r["keys"]: r["n"] for r in QUERIES["encrypted_no_key"](spark, sf).collect()} == {"all": n, "footer only": None, "wrong footer": None}
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    chunks = QUERIES["meta_column_chunks"](spark, sf).groupBy("path").agg(F.sum("n_values").alias("n"), F.min("uncompressed").alias("u")).collect()
+    assert {r["path"]: r["n"] for r in chunks} == dict.fromkeys(events.columns, events.count()) and all(r["u"] > 0 for r in chunks)
+    for r in QUERIES["meta_kv"](spark, sf).collect():
+        fields = json.loads(r["pairs"]["org.apache.spark.sql.parquet.row.metadata"])["fields"]
+        assert [(f["name"], f["type"]) for f in fields] == [(f.name, f.dataType.jsonValue()) for f in events.schema]
+
+
 def test_schema_builder():
     schema = SchemaBuilder().column("name", "string").array("tags", "string").map("scores", "string", "int").build()
     assert [(x.path, x.max_def, x.max_rep) for x in leaves(schema)] == [("name", 0, 0), ("tags.list.element", 3, 1), ("scores.key_value.key", 2, 1), ("scores.key_value.value", 3, 1)]
