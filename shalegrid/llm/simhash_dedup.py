@@ -12,6 +12,8 @@ shares one, so linking each to the least of them keeps all links, without pairs.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from shalegrid.llm.components import connected_components
 WORDS = 3
 #: Fingerprints in a cell from which it is split by midpoints.
 CROWDED = 64
+#: Bits in which the shingle fingerprints of an edited copy may differ; two texts that have nothing in common do so once in four million pairs.
+ALIKE = 12
 #: Fingerprints that are sent to every task at most: those that each have one in HOT of all rows.
 HOT = 1000
 
@@ -99,24 +103,23 @@ def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def _with_components(fps: DataFrame, crowded: int) -> tuple[DataFrame, list[DataFrame]]:
-    """fps (fp, doc_id, any more columns) with component_id, and group: a fingerprint that names the component; and the staged
-    tables that it reads besides fps."""
+def _with_components(fps: DataFrame, crowded: int) -> DataFrame:
+    """fps (fp, doc_id) with component_id."""
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "classes")
     # A node is its class's fingerprint, so that rows that share a doc_id but no text never fall together.
     edges = links(classes.select(F.col("fp").alias("node"), "fp"), crowded)
     comps = staged(connected_components(edges), "components")
     joined = comps.join(classes.select(F.col("fp").alias("node"), "doc_id"), "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_fp = comps.join(least, "component").select(F.col("node").alias("fp"), "component", "least")
-    heads = staged(classes.join(of_fp, "fp", "left").select("fp", "n", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("component", "fp").alias("group")), "heads")
+    of_fp = comps.join(least, "component").select(F.col("node").alias("fp"), "least")
+    heads = staged(classes.join(of_fp, "fp", "left").select("fp", "n", F.coalesce("least", "doc_id").alias("component_id")), "heads")
     unstage(classes, comps)
     # A fingerprint that many rows share would make one task of the join large. At most HOT fingerprints can have one in
     # HOT of all rows: those are sent to every task, and the rows of the others are dealt by fingerprint.
     rows = fps.count()
     hot = F.broadcast(heads.where(F.col("n") * HOT >= rows).drop("n"))
     often, rarely = fps.join(hot, "fp"), fps.join(hot, "fp", "left_anti").join(heads.where(F.col("n") * HOT < rows).drop("n"), "fp")
-    return often.unionByName(rarely), [heads]
+    return often.unionByName(rarely)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED) -> DataFrame:
@@ -126,28 +129,67 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED)
     others. A null doc_id takes part with its text; where a component has null ids only, its component_id is null. Rows that
     repeat a doc_id are each returned; an empty table gives no rows.
     """
-    known, _ = _with_components(staged(fingerprints(docs, words), "fingerprints"), crowded)
+    known = _with_components(staged(fingerprints(docs, words), "fingerprints"), crowded)
     return known.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of docs for each component: that of its least doc_id, null last.
+def word_fingerprints(text: str | None) -> tuple[int, int]:
+    """Two independent fingerprints of the single words, weighted by how often they occur."""
+    counts = Counter((text or "").encode().lower().split())
+    if not counts:
+        return 0, 0
+    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, counts)), np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+    totals = np.fromiter(counts.values(), np.float64, len(counts)) @ bits
+    a, b = np.packbits(2 * totals > counts.total(), bitorder="little").view("<u8").tolist()
+    return a, b
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def copy_links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(u, v) nodes of near copies: their shingle fingerprints link, or one of their word fingerprints does and the shingle
+    fingerprints differ in ALIKE bits or fewer.
+
+    classes: (node, fp, word_a, word_b), one row for each node. An edited copy keeps nearly all words but not nearly all
+    shingles, so words find what shingles within two bits miss; the shingles then verify it.
+    """
+    out = links(classes.select("node", "fp"), crowded)
+    for name in ("word_a", "word_b"):
+        found = links(classes.select("node", F.col(name).alias("fp")), crowded)
+        for end in ("u", "v"):
+            found = found.join(classes.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+        out = out.unionByName(found.where(f"bit_count(fp_u ^ fp_v) <= {ALIKE}").select("u", "v"))
+    return out
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED) -> DataFrame:
+    """One row of docs for each group of near copies (copy_links): that of its least doc_id, null last.
 
-    A row is known by its doc_id and text, so rows that repeat an id or have none stay where their components differ. Of a
-    component's rows with one id, that with the least digest of the text stays; of rows equal in both, any one. Null texts
+    A row is known by its doc_id and text, so rows that repeat an id or have none stay where their groups differ. Of a
+    group's rows with one id, that with the least digest of the text stays; of rows equal in both, any one. Null texts
     count as empty ones. An empty table gives no rows; columns besides doc_id and text may have any names.
     """
     own_id, own_digest, own_text = unused(docs, "id", "digest", "text")
     digest = F.md5(F.coalesce("text", F.lit("")))
 
     def make():
-        return lambda columns: [columns[0], [x - (1 << 64) if x >> 63 else x for x in (fingerprint(t, words) for t in columns[1])], columns[2]]
+        def run(columns: list[list]) -> list[list]:
+            both = [word_fingerprints(t) for t in columns[1]]
+            return [columns[0], [_signed(fingerprint(t, words)) for t in columns[1]], [_signed(a) for a, _ in both], [_signed(b) for _, b in both], columns[2]]
+
+        return run
 
-    fps = staged(map_rows(docs.select("doc_id", "text", digest.alias("digest")), ["doc_id", "text", "digest"], make, fields("doc_id bigint, fp bigint, digest string")), "fingerprints")
+    kinds = "doc_id bigint, fp bigint, word_a bigint, word_b bigint, digest string"
+    fps = staged(map_rows(docs.select("doc_id", "text", digest.alias("digest")), ["doc_id", "text", "digest"], make, fields(kinds)), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
-    grouped, used = _with_components(fps, CROWDED)
-    firsts = staged(grouped.groupBy("group").agg(least).select(F.col("least.doc_id").alias(own_id), F.col("least.digest").alias(own_digest)), "firsts")
-    repeated = fps.join(firsts, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col("digest") == F.col(own_digest)), "left_semi").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
-    unstage(fps, *used)
+    classes = staged(fps.groupBy("fp", "word_a", "word_b").agg(least).withColumn("node", F.monotonically_increasing_id()), "classes")
+    comps = staged(connected_components(copy_links(classes, crowded)), "components")
+    grouped = classes.join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("least").alias("least"))
+    firsts = staged(grouped.select(F.col("least.doc_id").alias(own_id), F.col("least.digest").alias(own_digest)), "firsts")
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col("digest") == F.col(own_digest))
+    repeated = fps.join(firsts, same, "left_semi").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
+    unstage(fps, classes, comps)
     kept = docs.withColumn(own_text, digest).join(firsts, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_text) == F.col(own_digest)), "left_semi")
     return (kept.dropDuplicates(["doc_id", own_text]) if repeated else kept).drop(own_text)

@@ -335,6 +335,30 @@ def test_op7_links_connect_all_within_two_bits(spark, crowded):
         assert found == {frozenset((a, b)) for a in signed for b in signed if a < b and apart(a, b) <= 2} and len(links) == len(found)
 
 
+def test_word_fingerprints():
+    for text in ["a b B c a", "", None, " ".join(f"w{i % 37}" for i in range(500))]:
+        words = (text or "").lower().split()
+        totals = [sum(xxhash.xxh3_128_digest(w.encode())[k // 8] >> k % 8 & 1 for w in words) for k in range(128)]
+        want = sum(1 << k for k in range(128) if 2 * totals[k] > len(words))
+        assert simhash_dedup.word_fingerprints(text) == (want & (1 << 64) - 1, want >> 64)
+
+
+def test_edited_copies_go(spark):
+    """Of copies with one word in forty changed or left out four in five go at least; texts of the same words in another order stay."""
+    rnd = random.Random(12)
+    common = [f"word{i}" for i in range(400)]
+    rows, base = [], [rnd.choices(common, k=400) for _ in range(20)]
+    for k, words in enumerate(base):
+        rows.append((k, " ".join(words)))
+        for j in range(10):
+            copy = [w if rnd.random() > 1 / 40 else rnd.choice(["", "other"]) for w in words]
+            rows.append((1000 + 100 * k + j, " ".join(copy)))
+        rows.append((10_000 + k, " ".join(rnd.sample(words, len(words)))))
+    kept = {r["doc_id"] for r in simhash_dedup.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {*range(20)} <= kept and {10_000 + k for k in range(20)} <= kept
+    assert sum(1000 <= d < 10_000 for d in kept) <= 40
+
+
 def test_components(spark):
     rnd = random.Random(3)
     pairs = [(i, i + 1) for i in range(100, 180)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(500, x) for x in range(501, 560)] + [(5, 5), (None, 3)]
@@ -567,7 +591,10 @@ def test_pipeline(spark):
     score = quality_rules._verdicts(trees, [*kept.values()], quality_rules.CUT)
     kept = {d: t for (d, t), f, p in zip(kept.items(), score[1], score[2], strict=True) if not f and p >= quality_rules.CUT}
     fps = {d: plain_fingerprint(t) for d, t in kept.items()}
-    heads = components(kept, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    of_words = {d: simhash_dedup.word_fingerprints(t) for d, t in kept.items()}
+    apart = lambda x, y: (x ^ y).bit_count()
+    alike = lambda a, b: apart(fps[a], fps[b]) <= 2 or (apart(fps[a], fps[b]) <= 12 and min(map(apart, of_words[a], of_words[b])) <= 2)
+    heads = components(kept, alike)
     kept = {d: t for d, t in kept.items() if heads[d] == d}
     index = decontam.Index(duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall())
     kept = {d: t for d, t in kept.items() if not index.matches(t)}
