@@ -12,6 +12,7 @@ shares one, so linking each to the least of them keeps all links, without pairs.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -23,9 +24,11 @@ from shalegrid.llm.common import fields, map_rows, staged, unstage, unused
 from shalegrid.llm.components import connected_components
 
 WORDS = 3
-#: Fingerprints in a cell from which it is split by midpoints.
-CROWDED = 64
-#: Bits in which the shingle fingerprints of an edited copy may differ; two texts that have nothing in common do so once in four million pairs.
+WORD = re.compile(r"\w+")
+#: Fingerprints in a cell from which it is split by midpoints; less for those of words, whose copies crowd in few cells.
+CROWDED, CROWDED_WORDS = 64, 16
+#: Bits in which the shingle fingerprints of an edited copy may differ; of two texts that have nothing in common, they differ
+#: so little once in four million pairs.
 ALIKE = 12
 #: Fingerprints that are sent to every task at most: those that each have one in HOT of all rows.
 HOT = 1000
@@ -77,10 +80,10 @@ def _segment(cell: str, k: str) -> str:
     return f"(shiftrightunsigned({cell}, 4 * {k}) & 15)"
 
 
-def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """(u, v) node pairs whose fingerprints differ in 1 or 2 bits, or enough of them to connect all such pairs.
+def links(classes: DataFrame, crowded: int = CROWDED, unique: bool = True) -> DataFrame:
+    """(u, v) node pairs whose fingerprints differ in 2 bits at most, or enough of them to connect all such pairs.
 
-    classes: (node, fp), one row for each distinct fingerprint.
+    classes: (node, fp), one row for each node; unique: no two nodes have one fingerprint.
     """
     own = classes.selectExpr("node", "fp", f"{_cell('fp')} as home")
     steps = "transform(sequence(0, 15), k -> struct(k as seg, 1 as move)), transform(sequence(0, 15), k -> struct(k as seg, -1 as move))"
@@ -97,7 +100,12 @@ def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     a, b = (few.select(F.col("cell"), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "fp", "seg", "move"))) for x in "ab")
     meets = "(a_move = 0 and b_move = 0 and a_node < b_node) or (a_move = 0 and b_move = 1) or (a_move = -1 and b_move = 1 and a_seg <= b_seg) or (a_move = 1 and b_move = 1 and a_seg < b_seg)"
     pairs = a.join(b, "cell").where(f"a_node <> b_node and ({meets}) and bit_count(a_fp ^ b_fp) <= 2").select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
-    bits = many.select("node", "fp").distinct().selectExpr("node", "fp", "explode(sequence(-1, 63)) as bit").selectExpr("node", "case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end as mid")
+    dealt = many.select("node", "fp").distinct()
+    if not unique:  # of nodes with one fingerprint the least stands for all
+        heads = dealt.groupBy("fp").agg(F.min("node").alias("head"))
+        same = dealt.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+        dealt, pairs = heads.select(F.col("head").alias("node"), "fp"), pairs.unionByName(same)
+    bits = dealt.selectExpr("node", "fp", "explode(sequence(-1, 63)) as bit").selectExpr("node", "case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end as mid")
     least = bits.groupBy("mid").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("mid", "u")
     stars = bits.join(least, "mid").where("node <> u").select("u", F.col("node").alias("v"))
     return pairs.unionByName(stars)
@@ -134,8 +142,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED)
 
 
 def word_fingerprints(text: str | None) -> tuple[int, int]:
-    """Two independent fingerprints of the single words, weighted by how often they occur."""
-    counts = Counter((text or "").encode().lower().split())
+    """Two independent fingerprints of the single words (letters, digits and underscores in lower case), weighted by how often
+    they occur. Marks do not count: a table's bars would outweigh its words."""
+    counts = Counter(WORD.findall((text or "").lower()))
     if not counts:
         return 0, 0
     bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, counts)), np.uint8).reshape(-1, 16), axis=1, bitorder="little")
@@ -148,23 +157,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def copy_links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def copy_links(classes: DataFrame, crowded: int = CROWDED_WORDS) -> DataFrame:
     """(u, v) nodes of near copies: their shingle fingerprints link, or one of their word fingerprints does and the shingle
     fingerprints differ in ALIKE bits or fewer.
 
     classes: (node, fp, word_a, word_b), one row for each node. An edited copy keeps nearly all words but not nearly all
     shingles, so words find what shingles within two bits miss; the shingles then verify it.
     """
-    out = links(classes.select("node", "fp"), crowded)
+    out = links(classes.select("node", "fp"), CROWDED, unique=False)
     for name in ("word_a", "word_b"):
-        found = links(classes.select("node", F.col(name).alias("fp")), crowded)
+        found = links(classes.select("node", F.col(name).alias("fp")), crowded, unique=False)
         for end in ("u", "v"):
             found = found.join(classes.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}")), end)
         out = out.unionByName(found.where(f"bit_count(fp_u ^ fp_v) <= {ALIKE}").select("u", "v"))
     return out
 
 
-def keep_first(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row of docs for each group of near copies (copy_links): that of its least doc_id, null last.
 
     A row is known by its doc_id and text, so rows that repeat an id or have none stay where their groups differ. Of a
@@ -185,7 +194,7 @@ def keep_first(docs: DataFrame, words: int = WORDS, crowded: int = CROWDED) -> D
     fps = staged(map_rows(docs.select("doc_id", "text", digest.alias("digest")), ["doc_id", "text", "digest"], make, fields(kinds)), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
     classes = staged(fps.groupBy("fp", "word_a", "word_b").agg(least).withColumn("node", F.monotonically_increasing_id()), "classes")
-    comps = staged(connected_components(copy_links(classes, crowded)), "components")
+    comps = staged(connected_components(copy_links(classes)), "components")
     grouped = classes.join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("least").alias("least"))
     firsts = staged(grouped.select(F.col("least.doc_id").alias(own_id), F.col("least.digest").alias(own_digest)), "firsts")
     same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col("digest") == F.col(own_digest))
