@@ -18,7 +18,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPLIT = regex.compile(PATTERN)
 #: Pre-tokens of one generation that a worker remembers; it has two.
-MEMO = 400_000
+MEMO = 300_000
 
 
 @lru_cache(maxsize=1)
