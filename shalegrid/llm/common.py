@@ -15,6 +15,8 @@ from shalegrid.session import discard, workspace
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 1 << 25
 #: Bytes of a portion of an Arrow batch that is made into Python objects at once, about.
 PORTION = 1 << 23
+#: The setting for the bytes of a whole Arrow batch, which an executor holds on both sides of the pipe.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,12 @@ def unstage(*tables: DataFrame) -> None:
         discard(df.sparkSession, df._staged_path)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Batches of a portion's size, not of 64 MB, unless the session says otherwise; a single longer row is a batch of its own."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(PORTION))
+
+
 def _portions(batches: Iterable[pa.RecordBatch], size: int = PORTION, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in portions of so many rows and about so many bytes: what a portion's Python objects take is bounded."""
     for batch in batches:
@@ -51,6 +59,7 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[lis
     make runs once a task, so that what it loads stays in the worker. size: a portion's bytes, less where much is made of each.
     """
     arrow = _arrow_schema(out)
+    _bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -64,6 +73,7 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[lis
 def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[list[list]], list[bool]]]) -> DataFrame:
     """The rows, all columns kept, for which make()(lists of the named columns) is true."""
     at = [df.columns.index(c) for c in columns]
+    _bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

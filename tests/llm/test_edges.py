@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from conftest import DATA
 
-from shalegrid.llm import byte_bpe, decontam, html_extract, line_dedup, pii, quality_bayes, quality_rules, secret_links, simhash_dedup, token_counts
+from shalegrid.llm import byte_bpe, common, decontam, html_extract, line_dedup, pii, quality_bayes, quality_rules, secret_links, simhash_dedup, token_counts
 
 LONG = "alpha beta gamma delta epsilon zeta. " * 30_000
 ROWS = [(1, None), (2, ""), (3, "   \n\t "), (4, LONG), (5, "same text here for all of us"), (6, "same text here for all of us"), (6, "same text here for all of us"), (None, "no id but text"), (None, None), (7, "𝒳 é 日本 \x00 end")]
@@ -92,3 +92,18 @@ def test_every_query_runs(spark):
 
     for name, query in QUERIES.items():
         assert query(spark, f"{DATA}/sf0.001").count() > 0, name
+
+
+def test_arrow_batches_are_bounded(spark):
+    held = spark.conf.get(common.BATCH, None)
+    spark.conf.unset(common.BATCH)
+    try:
+        docs = spark.range(3).selectExpr("id as doc_id", f"repeat('x', {common.PORTION}) as text").coalesce(1)
+        got = common.map_rows(docs, ["doc_id", "text"], lambda: lambda c: [[len(c[0])] * len(c[0]), [len(t) for t in c[1]]], common.fields("n bigint, size bigint")).collect()
+        assert spark.conf.get(common.BATCH) == str(common.PORTION)
+        assert [(r["n"], r["size"]) for r in got] == [(1, common.PORTION)] * 3
+        spark.conf.set(common.BATCH, "1048576")
+        common.filter_rows(docs, ["doc_id"], lambda: lambda c: [True] * len(c[0]))
+        assert spark.conf.get(common.BATCH) == "1048576"  # the session's own choice stands
+    finally:
+        spark.conf.set(common.BATCH, held) if held else spark.conf.unset(common.BATCH)
