@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +102,15 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAS
     return seen["n"] <= rows and seen["b"] <= size
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | Column, rows: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has so many rows at most: few are sent to every task, else both sides are shuffled.
+
+    Spark's own guess goes by the size of the files that a plan reads. It knows neither how far they are compressed nor that
+    an explode multiplies rows, and a table sent by a wrong guess passes through the driver, whose memory it can fill.
+    """
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on, how)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be no column of df."""
     have = {c.lower() for c in df.columns}

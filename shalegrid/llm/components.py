@@ -9,23 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalegrid.llm.common import staged, unstage
+from shalegrid.llm.common import joined, staged, unstage
 
 
-def _least(links: DataFrame) -> DataFrame:
-    """(u, v, m): each link both ways with the least of u and u's neighbours."""
+def _least(links: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): each of so many links at most with the least of u and u's neighbours."""
     least = links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return links.join(least, "u")
+    return joined(links, least, "u", rows)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, rows: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, rows: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    near = _least(down)
+    near = _least(down, rows)
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -41,7 +41,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if mark["n"] == 0 or state == (mark["n"], mark["h"]):
             break
         state = (mark["n"], mark["h"])
-        new = staged(_small_star(_large_star(links)), "links")
+        new = staged(_small_star(_large_star(links, mark["n"]), mark["n"]), "links")
         unstage(links)
         links = new
     else:

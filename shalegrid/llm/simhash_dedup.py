@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalegrid.llm.common import fields, map_rows, staged, unstage, unused
+from shalegrid.llm.common import fields, joined, map_rows, staged, unstage, unused
 from shalegrid.llm.components import connected_components
 
 WORDS = 3
@@ -85,6 +85,7 @@ def links(classes: DataFrame, crowded: int = CROWDED, unique: bool = True) -> Da
 
     classes: (node, fp), one row for each node; unique: no two nodes have one fingerprint.
     """
+    nodes = classes.count()
     own = classes.selectExpr("node", "fp", f"{_cell('fp')} as home")
     steps = "transform(sequence(0, 15), k -> struct(k as seg, 1 as move)), transform(sequence(0, 15), k -> struct(k as seg, -1 as move))"
     near = own.selectExpr("node", "fp", "home", f"explode(concat(array(struct(-1 as seg, 0 as move)), {steps})) as s").where(
@@ -94,20 +95,21 @@ def links(classes: DataFrame, crowded: int = CROWDED, unique: bool = True) -> Da
     moved = f"(home & ~{unit}) | shiftleft({_segment('home', 's.seg')} + s.move, 4 * s.seg)"
     cells = near.selectExpr("node", "fp", f"case when s.move = 0 then home else {moved} end as cell", "cast(s.seg as byte) as seg", "cast(s.move as byte) as move")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(cells.join(sizes, "cell"), "cells")
+    shared = staged(joined(cells, sizes, "cell", 33 * nodes), "cells")
+    rows = shared.agg(F.count_if(F.col("n") <= crowded).alias("few"), F.count_if(F.col("n") > crowded).alias("many")).first()
     few, many = shared.where(F.col("n") <= crowded), shared.where(F.col("n") > crowded)
     # Of the cells in which two fingerprints meet, one is taken: by the moves that led there.
     a, b = (few.select(F.col("cell"), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "fp", "seg", "move"))) for x in "ab")
     meets = "(a_move = 0 and b_move = 0 and a_node < b_node) or (a_move = 0 and b_move = 1) or (a_move = -1 and b_move = 1 and a_seg <= b_seg) or (a_move = 1 and b_move = 1 and a_seg < b_seg)"
-    pairs = a.join(b, "cell").where(f"a_node <> b_node and ({meets}) and bit_count(a_fp ^ b_fp) <= 2").select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+    pairs = joined(a, b, "cell", rows["few"]).where(f"a_node <> b_node and ({meets}) and bit_count(a_fp ^ b_fp) <= 2").select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
     dealt = many.select("node", "fp").distinct()
     if not unique:  # of nodes with one fingerprint the least stands for all
         heads = dealt.groupBy("fp").agg(F.min("node").alias("head"))
-        same = dealt.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+        same = joined(dealt, heads, "fp", min(nodes, rows["many"])).where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
         dealt, pairs = heads.select(F.col("head").alias("node"), "fp"), pairs.unionByName(same)
     bits = dealt.selectExpr("node", "fp", "explode(sequence(-1, 63)) as bit").selectExpr("node", "case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end as mid")
     least = bits.groupBy("mid").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("mid", "u")
-    stars = bits.join(least, "mid").where("node <> u").select("u", F.col("node").alias("v"))
+    stars = joined(bits, least, "mid", 65 * min(nodes, rows["many"])).where("node <> u").select("u", F.col("node").alias("v"))
     return pairs.unionByName(stars)
 
 
@@ -164,11 +166,12 @@ def copy_links(classes: DataFrame, crowded: int = CROWDED_WORDS) -> DataFrame:
     classes: (node, fp, word_a, word_b), one row for each node. An edited copy keeps nearly all words but not nearly all
     shingles, so words find what shingles within two bits miss; the shingles then verify it.
     """
+    nodes = classes.count()
     out = links(classes.select("node", "fp"), CROWDED, unique=False)
     for name in ("word_a", "word_b"):
         found = links(classes.select("node", F.col(name).alias("fp")), crowded, unique=False)
         for end in ("u", "v"):
-            found = found.join(classes.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+            found = joined(found, classes.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}")), end, nodes)
         out = out.unionByName(found.where(f"bit_count(fp_u ^ fp_v) <= {ALIKE}").select("u", "v"))
     return out
 
@@ -195,10 +198,12 @@ def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
     classes = staged(fps.groupBy("fp", "word_a", "word_b").agg(least).withColumn("node", F.monotonically_increasing_id()), "classes")
     comps = staged(connected_components(copy_links(classes)), "components")
-    grouped = classes.join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("least").alias("least"))
+    grouped = joined(classes, comps, "node", comps.count(), "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("least").alias("least"))
     firsts = staged(grouped.select(F.col("least.doc_id").alias(own_id), F.col("least.digest").alias(own_digest)), "firsts")
     same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col("digest") == F.col(own_digest))
-    repeated = fps.join(firsts, same, "left_semi").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
+    heads = firsts.count()
+    repeated = joined(fps, firsts, same, heads, "left_semi").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
     unstage(fps, classes, comps)
-    kept = docs.withColumn(own_text, digest).join(firsts, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_text) == F.col(own_digest)), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_text) == F.col(own_digest))
+    kept = joined(docs.withColumn(own_text, digest), firsts, same, heads, "left_semi")
     return (kept.dropDuplicates(["doc_id", own_text]) if repeated else kept).drop(own_text)
