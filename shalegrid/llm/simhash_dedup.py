@@ -117,18 +117,19 @@ def _with_components(fps: DataFrame, crowded: int) -> DataFrame:
     """fps (fp, doc_id) with component_id."""
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "classes")
     # A node is its class's fingerprint, so that rows that share a doc_id but no text never fall together.
+    nodes = classes.count()
     edges = links(classes.select(F.col("fp").alias("node"), "fp"), crowded)
     comps = staged(connected_components(edges), "components")
-    joined = comps.join(classes.select(F.col("fp").alias("node"), "doc_id"), "node")
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_fp = comps.join(least, "component").select(F.col("node").alias("fp"), "least")
-    heads = staged(classes.join(of_fp, "fp", "left").select("fp", "n", F.coalesce("least", "doc_id").alias("component_id")), "heads")
+    ids = joined(comps, classes.select(F.col("fp").alias("node"), "doc_id"), "node", nodes)
+    least = ids.groupBy("component").agg(F.min("doc_id").alias("least"))
+    of_fp = joined(comps, least, "component", nodes).select(F.col("node").alias("fp"), "least")
+    heads = staged(joined(classes, of_fp, "fp", nodes, "left").select("fp", "n", F.coalesce("least", "doc_id").alias("component_id")), "heads")
     unstage(classes, comps)
     # A fingerprint that many rows share would make one task of the join large. At most HOT fingerprints can have one in
     # HOT of all rows: those are sent to every task, and the rows of the others are dealt by fingerprint.
     rows = fps.count()
     hot = F.broadcast(heads.where(F.col("n") * HOT >= rows).drop("n"))
-    often, rarely = fps.join(hot, "fp"), fps.join(hot, "fp", "left_anti").join(heads.where(F.col("n") * HOT < rows).drop("n"), "fp")
+    often, rarely = fps.join(hot, "fp"), joined(fps.join(hot, "fp", "left_anti"), heads.where(F.col("n") * HOT < rows).drop("n"), "fp", nodes)
     return often.unionByName(rarely)
 
 

@@ -48,3 +48,13 @@ def test_keep_first_sends_bounded_tables(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 20)
     most, got = most_sent(spark, lambda: {r["doc_id"] for r in simhash_dedup.keep_first(docs).collect()})
     assert got == want and {3 * g for g in range(30)} <= got and most <= 20
+
+
+def test_near_duplicates_sends_bounded_tables(spark, monkeypatch):
+    docs = spark.createDataFrame(copies(60, 2), "doc_id bigint, text string")
+    rows = lambda: sorted(map(tuple, simhash_dedup.near_duplicates(docs).collect()))
+    want = rows()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(simhash_dedup, "HOT", 20)
+    most, got = most_sent(spark, rows)
+    assert got == want and most <= 20
