@@ -13,6 +13,8 @@ from shalegrid.session import discard, workspace
 
 #: Rows and bytes of strings that a table may have to be sent to every executor; a larger one is joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 1 << 25
+#: Bits of a sieve for each of its keys, 64-bit words of a block of it, and its blocks at most: 32 MB, sent to every executor.
+SIEVE_BITS, SIEVE_WORDS, SIEVE_BLOCKS = 16, 64, 1 << 16
 #: Bytes of a portion of an Arrow batch that is made into Python objects at once, about.
 PORTION = 1 << 23
 #: The setting for the bytes of a whole Arrow batch, which an executor holds on both sides of the pipe.
@@ -111,6 +113,40 @@ def joined(left: DataFrame, right: DataFrame, on: str | Column, rows: int, how:
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on, how)
 
 
+def sieve(keys: DataFrame, key: Column, rows: int) -> DataFrame:
+    """A Bloom filter of so many keys (key: a hash, bigint), staged: (block, words). Each key sets four bits of one word.
+
+    Its bytes are bounded: beyond the bound more rows than need be pass as hits, none is missed.
+    """
+    blocks = max(1, min(SIEVE_BLOCKS, BROADCAST_ROWS, rows * SIEVE_BITS // (64 * SIEVE_WORDS) + 1))
+    block, word, mask = _sieve_place(key, blocks, SIEVE_WORDS)
+    masks = keys.select(block.alias("block"), word.alias("word"), mask.alias("mask")).groupBy("block", "word").agg(F.bit_or("mask").alias("mask"))
+    known = masks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("known"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(SIEVE_WORDS - 1)), lambda w: F.coalesce(F.try_element_at("known", w), F.lit(0).cast("long")))
+    out = staged(known.select("block", words.alias("words")), "sieve")
+    out._shape = blocks, SIEVE_WORDS
+    return out
+
+
+def _sieve_place(key: Column, blocks: int, words: int) -> tuple[Column, Column, Column]:
+    """Block, word and bits of a key."""
+    other = F.xxhash64(key)
+    mask = F.lit(0).cast("long")
+    for k in range(4):
+        bit = F.shiftrightunsigned(other, 32 + 6 * k).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+    return F.pmod(key, F.lit(blocks).cast("long")), F.pmod(F.shiftright(other, 8), F.lit(words).cast("long")).cast("int"), mask
+
+
+def sifted(df: DataFrame, key: Column, by: DataFrame, hit: bool) -> DataFrame:
+    """The rows of df whose key is in the sieve, and a few others (hit), or all the other rows; nothing is shuffled."""
+    own_block, own_words = unused(df, "block", "words")
+    block, word, mask = _sieve_place(key, *by._shape)
+    table = by.select(F.col("block").alias(own_block), F.col("words").alias(own_words))
+    found = F.coalesce(F.get(own_words, word).bitwiseAND(mask) == mask, F.lit(False))
+    return df.join(F.broadcast(table), block == F.col(own_block), "left").where(found if hit else ~found).drop(own_block, own_words)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be no column of df."""
     have = {c.lower() for c in df.columns}

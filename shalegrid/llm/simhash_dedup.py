@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalegrid.llm.common import fields, joined, map_rows, staged, unstage, unused
+from shalegrid.llm.common import fields, joined, map_rows, sieve, sifted, staged, unstage, unused
 from shalegrid.llm.components import connected_components
 
 WORDS = 3
@@ -200,11 +200,29 @@ def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
     classes = staged(fps.groupBy("fp", "word_a", "word_b").agg(least).withColumn("node", F.monotonically_increasing_id()), "classes")
     comps = staged(connected_components(copy_links(classes)), "components")
     grouped = joined(classes, comps, "node", comps.count(), "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("least").alias("least"))
-    firsts = staged(grouped.select(F.col("least.doc_id").alias(own_id), F.col("least.digest").alias(own_digest)), "firsts")
+    firsts = grouped.select(F.col("least.doc_id").alias(own_id), F.col("least.digest").alias(own_digest), F.lit(True).alias("first"))
     same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col("digest") == F.col(own_digest))
-    heads = firsts.count()
-    repeated = joined(fps, firsts, same, heads, "left_semi").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
+    rows = fps.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    keys = staged(joined(rows, firsts, same, classes.count(), "left").select("doc_id", "digest", "n", F.col("first").isNotNull().alias("stays")), "keys")
     unstage(fps, classes, comps)
-    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_text) == F.col(own_digest))
-    kept = joined(docs.withColumn(own_text, digest), firsts, same, heads, "left_semi")
-    return (kept.dropDuplicates(["doc_id", own_text]) if repeated else kept).drop(own_text)
+    # Texts are too large to shuffle. A sieve of the keys that go, or stay once though they repeat, parts the rows that stay as
+    # they are from the others; of those, a sieve of the keys that stay and were held back leaves few, which are looked up.
+    watched = keys.where("not stays or n > 1")
+    n = watched.count()
+    if not n:
+        unstage(keys)
+        return docs
+    key = F.xxhash64(F.col("doc_id").cast("long"), "digest")
+    goes = sieve(watched, key, n)
+    held = staged(sifted(keys.where("stays"), key, goes, True).select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest), "n"), "held")
+    counts = held.agg(F.count("*").alias("n"), F.count_if(F.col("n") > 1).alias("repeated")).first()
+    unstage(keys)
+    known = docs.withColumn(own_text, digest)
+    key = F.xxhash64(F.col("doc_id").cast("long"), own_text)
+    kept = sifted(known, key, goes, False)
+    if counts["n"]:
+        same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(own_text) == F.col(own_digest))
+        stay = sieve(held, F.xxhash64(own_id, own_digest), counts["n"])
+        late = joined(sifted(sifted(known, key, goes, True), key, stay, True), held, same, counts["n"], "left_semi")
+        kept = kept.union(late.dropDuplicates(["doc_id", own_text]) if counts["repeated"] else late)
+    return kept.drop(own_text)
