@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CODECS = ("none", "snappy", "gzip", "zstd", "lz4", "lz4_raw")
+#: About so many row groups go to a file at most: a footer has an entry for each group and column, and whoever opens the file reads all of them.
+GROUPS_A_FILE = 1000
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ def write(df: DataFrame, path: str, options: WriteOptions = WriteOptions(), mode
 
 def write_row_groups(df: DataFrame, path: str, order: str, rows: int, options: WriteOptions = WriteOptions()) -> None:
     """Groups of `rows` places of the order column each, which counts from 0 without gaps: ranges of whole groups go to
-    tasks, so that file boundaries are group boundaries too."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+    tasks, so that file boundaries are group boundaries too. The number of files follows the rows, so that no footer does."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // (rows * GROUPS_A_FILE)))
     dealt = df.withColumn("__g", F.expr(f"{order} div {rows}")).repartitionByRange(n, "__g").sortWithinPartitions(order).drop("__g")
     write(dealt, path, replace(options, rows_per_group=rows))

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from conftest import DATA
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shalegrid.functions import bits, crypto, hashing
@@ -20,6 +21,7 @@ from shalegrid.operators import payloads as P
 from shalegrid.operators.nested import assemble_list, assemble_map, assemble_nested_list, assemble_struct, shred
 from shalegrid.operators.schema import SchemaBuilder, leaves
 from shalegrid.operators.stats import chunk_stats
+from shalegrid.sources import row_groups, sink
 from shalegrid.sources.encrypted import read_encrypted, write_encrypted
 from shalegrid.sources.footers import footers
 from shalegrid.sources.row_groups import scan_row_groups
@@ -205,6 +207,35 @@ def test_row_groups(spark, tmp_path):
     assert sorted(r[:] for r in rows) == [(g, 64 * g, min(64, 1000 - 64 * g)) for g in range(16)]
 
 
+def test_many_small_row_groups(spark, tmp_path, monkeypatch):
+    """Neither a file's groups nor the tasks follow the number of groups: each task parses its file's whole footer."""
+    monkeypatch.setattr(sink, "GROUPS_A_FILE", 100)
+    write_row_groups(spark.range(4000).repartition(7), f"{tmp_path}/r", "id", 2)
+    held = [r["n_row_groups"] for r in footers(spark, f"{tmp_path}/r").collect()]
+    assert sum(held) == 2000 and max(held) < 150
+    back = scan_row_groups(spark, f"{tmp_path}/r", None, spark.range(1).schema, numbered=True)
+    assert back.rdd.getNumPartitions() == len(held)
+    assert back.where("row_group <> id div 2 or place <> row_group").count() == 0 and back.select("id").distinct().count() == 4000
+
+
+def test_row_groups_of_a_task(spark, tmp_path, monkeypatch):
+    rows, at = [1, 0, 3, 10_000, 2], 0
+    with pq.ParquetWriter(f"{tmp_path}/a.parquet", pa.schema([("id", pa.int64())])) as out:
+        for n in rows:
+            out.write_table(pa.table({"id": pa.array(range(at, at + n), pa.int64())}), row_group_size=20_000)
+            at += n
+    pq.write_table(pa.table({"id": [at, at + 1]}), f"{tmp_path}/b.parquet")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "row_group", "place")])
+    first, count = [0, 1, 1, 4, 10_004, 10_006], [*rows, 2]
+    for most, tasks in ((row_groups.TASK_BYTES, [[0, 1, 2, 3, 4], [0]]), (1000, [[0, 1, 2], [3], [4], [0]])):
+        monkeypatch.setattr(row_groups, "TASK_BYTES", most)
+        assert [p.value[3] for p in row_groups.RowGroupReader(f"{tmp_path}", None, schema).partitions()] == tasks
+        for wanted in (None, [3, 5, 3, 0, 0, 2]):
+            reader = row_groups.RowGroupReader(f"{tmp_path}", wanted, schema)
+            got = [tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+            assert got == [(first[g] + k, g, place) for place, g in enumerate(range(6) if wanted is None else wanted) for k in range(count[g])]
+
+
 def test_scans(spark, tmp_path):
     pq.write_table(pa.table({"x": [1, 2, None], "y": ["a", None, "c"]}), f"{tmp_path}/foreign.parquet", compression="zstd", data_page_version="2.0")
     df = scan(spark, f"{tmp_path}/foreign.parquet")
